@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, secret_scan, source_mix, url_filter
+from . import piece_codec, secret_scan, source_mix, topk, url_filter
 from ._common import table
 
 URL_RULES = [
@@ -62,11 +62,36 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
     "op4_secret_scan": op4_secret_scan,
     "op7_source_mix": op7_source_mix,
+    "op8_topk": op8_topk,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT vec_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
