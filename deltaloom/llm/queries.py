@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, secret_scan, source_mix, topk, url_filter
+from . import ann, piece_codec, secret_scan, source_mix, topk, url_filter
 from ._common import table
 
 URL_RULES = [
@@ -68,12 +68,18 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
     "op4_secret_scan": op4_secret_scan,
     "op7_source_mix": op7_source_mix,
     "op8_topk": op8_topk,
+    "op9_ann": op9_ann,
 }
 
 SQL: dict[str, str] = {}
