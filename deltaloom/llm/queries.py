@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, piece_codec, secret_scan, source_mix, topk, url_filter
+from . import ann, license_scan, piece_codec, secret_scan, source_mix, topk, url_filter
 from ._common import table
 
 URL_RULES = [
@@ -73,6 +73,26 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
@@ -80,6 +100,7 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_topk": op8_topk,
     "op9_ann": op9_ann,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {}
