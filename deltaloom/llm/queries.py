@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, piece_codec, secret_scan, source_mix, topk, url_filter
+from . import ann, chat_format, license_scan, piece_codec, secret_scan, source_mix, topk, url_filter
 from ._common import table
 
 URL_RULES = [
@@ -62,6 +62,19 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+#: A conversation whose texts are control strings.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(
+        spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    )
+    formatted = chat_format.format_chats(turns, chat_format.text_part(F.col("text")))
+    return chat_format.read_back(formatted)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     vectors = vectors.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
@@ -97,6 +110,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
     "op4_secret_scan": op4_secret_scan,
+    "op6_chat_format": op6_chat_format,
     "op7_source_mix": op7_source_mix,
     "op8_topk": op8_topk,
     "op9_ann": op9_ann,
@@ -105,6 +119,24 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+SQL["op6_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) + length('<|turn|>') + 1 + length('<|end|>') + 1
+    + 2 * len(regexp_extract_all(text, '%|<\||</?s>|\[/?INST\]')) AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 SQL["op8_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
