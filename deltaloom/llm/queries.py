@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, license_scan, piece_codec, secret_scan, source_mix, topk, url_filter
+from . import ann, chat_format, license_scan, piece_codec, secret_scan, source_mix, topk, toxicity, url_filter
 from ._common import table
 
 URL_RULES = [
@@ -62,6 +62,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: A conversation whose texts are control strings.
 CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
     "op4_secret_scan": op4_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_source_mix": op7_source_mix,
     "op8_topk": op8_topk,
