@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, license_scan, piece_codec, secret_scan, source_mix, topk, toxicity, url_filter
+from . import (
+    ann,
+    chat_format,
+    license_scan,
+    order_minhash,
+    piece_codec,
+    secret_scan,
+    source_mix,
+    topk,
+    toxicity,
+    url_filter,
+)
 from ._common import table
 
 URL_RULES = [
@@ -38,6 +49,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE))
@@ -113,6 +128,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_piece_codec": op2_piece_codec,
+    "op3_order_minhash": op3_order_minhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
