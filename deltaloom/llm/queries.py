@@ -140,6 +140,46 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+_UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
+SQL["op1_url_filter"] = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM h
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+_WEIGHTS = ", ".join(f"('{k}', {w!r})" for k, w in SOURCE_WEIGHTS.items())
+SQL["op7_source_mix"] = f"""
+WITH w(g, weight) AS (VALUES {_WEIGHTS}), d AS (
+  SELECT *, CASE WHEN source IN (SELECT g FROM w WHERE g <> '{source_mix.OTHER}') THEN source ELSE '{source_mix.OTHER}' END AS g,
+    coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
+), n AS (
+  SELECT d.g, CAST(any_value(w.weight) AS DOUBLE) AS weight, count(*) AS size FROM d JOIN w ON d.g = w.g GROUP BY d.g
+), rates AS (
+  SELECT g, weight / sum(weight) OVER () * sum(size) OVER () / size AS rate FROM n
+), steps AS (
+  SELECT g, rate, unnest(range(0, CAST(floor(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS i FROM rates
+), cdf AS (
+  SELECT g, list(p ORDER BY i) AS steps FROM (
+    SELECT g, i, sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (PARTITION BY g ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM steps
+  ) GROUP BY g
+), drawn AS (
+  SELECT d.*, len(list_filter(steps, lambda p: p < (CAST('0x' || substr(md5(k || ':mix'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)) AS copies
+  FROM d JOIN cdf ON d.g = cdf.g
+), each AS (SELECT *, unnest(range(copies)) AS mix_copy FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, mix_copy, md5(k || ':' || mix_copy || ':mix') AS mix_key FROM each
+"""
+
 SQL["op6_chat_format"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
