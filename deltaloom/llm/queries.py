@@ -140,6 +140,59 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+
+
+def _secret_sql() -> str:
+    """Spans of each pattern from the lengths of matches and gaps, entropy window by window."""
+    parts, spans = [], []
+    for rank, (kind, pattern, group, least, _) in enumerate(secret_scan.BASE):
+        parts.append(_places_sql(kind, pattern, group, least))
+        spans.append(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, s, s + len(v) AS e FROM {kind}")
+    width = secret_scan.WINDOW
+    for rank, (kind, pattern, _, must, limit) in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)):
+        holds = " AND ".join(f"regexp_matches(v, '{m}')" for m in must)
+        parts.append(_places_sql(kind, pattern, 0, width))
+        parts.append(f"""{kind}_w AS (
+  SELECT rid, s, v, unnest(range(0, len(v) - {width - 1})) AS k FROM {kind}
+  WHERE {holds} AND NOT regexp_matches(v, '{secret_scan.ALLOWED}')
+), {kind}_h AS (
+  SELECT rid, s, k FROM (
+    SELECT rid, s, k, c, count(*) AS n FROM (SELECT rid, s, k, unnest(string_split(substr(v, k + 1, {width}), '')) AS c FROM {kind}_w)
+    GROUP BY ALL
+  ) GROUP BY rid, s, k HAVING log2({width}) - sum(n * log2(n)) / {width} >= {limit}
+), {kind}_r AS (
+  SELECT rid, s, k, sum(fresh) OVER (PARTITION BY rid, s ORDER BY k) AS run FROM (
+    SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY rid, s ORDER BY k) <= {width} THEN 0 ELSE 1 END AS fresh FROM {kind}_h)
+)""")
+        spans.append(f"SELECT rid, {rank}, '{kind}', s + min(k), s + max(k) + {width} FROM {kind}_r GROUP BY rid, s, run")
+    one, order = "kind || ':' || s || ':' || e", "ORDER BY s, rank, e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in secret_scan.BASE)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(parts)},
+spans AS ({" UNION ALL ".join(spans)})
+SELECT doc_id, {counts},
+  sha256(coalesce(string_agg({one}, ',' {order}) FILTER (rank < {len(secret_scan.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({one}, ',' {order}), '') AS spans
+FROM t LEFT JOIN spans ON t.rid = spans.rid GROUP BY t.rid, doc_id
+"""
+
+
+def _places_sql(name: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT rid, m[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s
+  FROM (
+    SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS g,
+        string_split_regex(text, '{quoted}') AS gaps FROM t)
+  ) WHERE len(g[i]) >= {least}
+)"""
+
+
+SQL["op4_secret_scan"] = _secret_sql()
+
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 SQL["op1_url_filter"] = f"""
 WITH u AS (

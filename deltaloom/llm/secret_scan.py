@@ -11,6 +11,7 @@ candidate is on the allow list.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,14 @@ BASE = (
     ("hex", r"[0-9a-f]+", 0, 32, r"(?<![0-9a-f])[0-9a-f]{32}"),
 )
 WINDOW = 20
-#: kind, candidates, what a text must hold, what a candidate must hold, least entropy in bits
+#: kind, candidates, what a text must hold, what a candidate must hold of each, least entropy in bits
 CLASSES = (
-    ("entropy_hex", r"[0-9A-Fa-f]+", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20}", r"[0-9]", 3.0001),
+    ("entropy_hex", r"[0-9A-Fa-f]+", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20}", (r"[0-9]",), 3.0001),
     (
         "entropy_base64",
         r"[A-Za-z0-9+/_=-]+",
         r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}",
-        r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])",
+        (r"[0-9]", r"[A-Z]", r"[a-z]"),
         3.8001,
     ),
 )
@@ -152,8 +153,12 @@ def _marked(kind: str, rank: int):
     return mark
 
 
-def _suspicious(must: str):
-    return lambda place: place["value"].rlike(must) & ~place["value"].rlike(ALLOWED)
+def _suspicious(must: tuple[str, ...]):
+    def test(place: Column) -> Column:
+        holds = [place["value"].rlike(m) for m in must]
+        return reduce(lambda a, b: a & b, holds) & ~place["value"].rlike(ALLOWED)
+
+    return test
 
 
 def _high_runs(limit: float):
