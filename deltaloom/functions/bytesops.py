@@ -38,9 +38,14 @@ def _pairwise(function, kind: pa.DataType, spark_kind: str):
 
 
 def prefix_of(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = a[:n] != b[:n]
-    return int(differ.argmax()) if differ.any() else n
+    """Compared in steps that grow, so that a short prefix of long data costs little."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = a[at : min(n, at + step)] != b[at : min(n, at + step)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + step, 4 * step
+    return n
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:

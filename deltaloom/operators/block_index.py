@@ -69,13 +69,21 @@ def probes(chunks: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _key(pair: str, block: str) -> Column:
+    return F.xxhash64(pair, block)
+
+
 def hits(chunks: DataFrame, index: DataFrame, block: int) -> DataFrame:
     """pair_id, chunk_idx, pos and old_off of each probe that the index holds. [X5]
 
-    At most one row for each probe, as the index has one row for each block. The index goes
-    to the smaller side by Spark's own measure of it; both sides shuffle otherwise.
+    At most one row for each probe, as the index has one row for each block. Both sides meet
+    by a 64-bit hash of pair and block, so that blocks stay out of the shuffle of probes and
+    nothing is sorted; the index, with a row for each block of old, is the hashed side. What
+    is done with hits compares bytes: two blocks of one hash would cost a larger patch.
     """
-    found = probes(chunks, block).join(index, ["pair_id", "block"])
+    keyed = index.select(_key("pair_id", "block").alias("key"), F.col("pair_id").alias("of_pair"), "old_off")
+    probed = probes(chunks, block).select(_key("pair_id", "block").alias("key"), "pair_id", "chunk_idx", "pos")
+    found = probed.join(keyed.hint("shuffle_hash"), "key").where("pair_id = of_pair")
     return found.select("pair_id", "chunk_idx", "pos", "old_off")
 
 

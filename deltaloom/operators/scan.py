@@ -90,7 +90,9 @@ def scan_chunk(
             if start - hit == last_pos - last_hit and hit < last_hit + last_length - block + 1:
                 size = last_length - (hit - last_hit)  # on the same run as the hit before
             else:
-                size = block + prefix_of(old[start + block :], new[hit + block :])
+                size = prefix_of(old[start:], new[hit:])
+                if size < block:  # two blocks of one hash
+                    continue
             last_hit, last_pos, last_length = hit, start, size
             begin, counted = max(counted, hit), max(counted, hit + size)
             equal += _equal_between(old, new, begin, counted, now.shift)
