@@ -301,13 +301,13 @@ def _controls(spark, sf_dir):
     return controls.controls(cover.cover_matches(*_covered(spark, sf_dir)))
 
 
-@query(f"{_COVERED}, {CONTROLS} SELECT pair_id, CAST(seq AS INTEGER) AS seq, seek FROM m")
+@query(f"{_COVERED}, {CONTROLS} SELECT pair_id, CAST(seq AS INTEGER) AS seq, CAST(seek AS BIGINT) AS seek FROM m")
 def seek_lead(spark, sf_dir):
     """[F11]"""
     return _controls(spark, sf_dir).select("pair_id", "seq", "seek")
 
 
-@query(f"""{_COVERED}, {CONTROLS} SELECT pair_id, CAST(seq AS INTEGER) AS seq, old_off AS old_pos FROM m""")
+@query(f"""{_COVERED}, {CONTROLS} SELECT pair_id, CAST(seq AS INTEGER) AS seq, CAST(old_off AS BIGINT) AS old_pos FROM m""")
 def old_cursor(spark, sf_dir):
     """Where each control reads old: a running sum of what was added and sought. [A6]"""
     from pyspark.sql import Window
@@ -348,7 +348,7 @@ def patch_header(spark, sf_dir):
 
 
 @query(f"""WITH {HISTORY}, c AS (SELECT pair_id, len(n) // 2 AS size, unnest(range(0, greatest(1, (len(n) // 2 + {CHUNK - 1}) // {CHUNK}))) AS i FROM p)
-SELECT pair_id, CAST(i AS INTEGER) AS chunk_idx, size AS new_size, 0 AS old_start, i * {CHUNK} AS new_start, least({CHUNK}, size - i * {CHUNK}) AS new_len FROM c""")
+SELECT pair_id, CAST(i AS INTEGER) AS chunk_idx, size AS new_size, CAST(0 AS BIGINT) AS old_start, i * {CHUNK} AS new_start, least({CHUNK}, size - i * {CHUNK}) AS new_len FROM c""")
 def patch_records(spark, sf_dir):
     """Records read back from assembled patches. [IO5, IO6, D9]"""
     parsed = patchfile.parse(deltas.diff(history(spark, sf_dir), DiffOptions(BLOCK, CHUNK)))
