@@ -1,12 +1,14 @@
-"""What several operators share: tables, checkpoints and the number of parts."""
+"""What several operators share: tables, settled results and the number of parts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN = "deltaloom-checkpoints-"
+_OWN = "deltaloom-"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,16 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows of df from files in the folder of spark.checkpoint.dir, without its lineage.
+    """The rows of df as a written table in the folder of spark.checkpoint.dir.
 
-    A lost executor then costs a read of those files. Only where no folder is set, as in
-    local tests, one in the local temporary folder is used.
+    Its plan is a scan of those files: a lost executor costs a read, and the optimizer sees
+    nothing of what came before. Like reliable checkpoints the tables stay until the folder's
+    owner clears it. Only where no folder is set, as in local tests, a temporary one is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=_OWN))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{_OWN}{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix=_OWN)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
