@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "  # what the library decodes an unknown id to
-CACHED_PARTS = 200_000  # in each of two generations
+CACHED_PARTS = 150_000  # in each of two generations
+BATCH = 500  # texts whose results a worker holds at a time
 
 _SIGNS = (r"[^\W\d_]", r"[\d_]", r"[^\w ]")  # letters, digits, all else but the space
 
@@ -256,6 +257,13 @@ def _once(kind: type, v: Vocabulary):
     return _made[key]
 
 
+def _small(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows in batches of few, whose results take little memory in a worker."""
+    for batch in batches:
+        for at in range(0, len(batch), BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def encode_column(spark: SparkSession, v: Vocabulary, eos: bool = True):
     """A function of a string column that gives array<int>; null is encoded as empty."""
     shared = spark.sparkContext.broadcast(v)  # of the vocabulary's size
@@ -264,7 +272,7 @@ def encode_column(spark: SparkSession, v: Vocabulary, eos: bool = True):
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _once(Encoder, shared.value)
-        for batch in batches:
+        for batch in _small(batches):
             ids = [encoder.text(s.as_py() or "") + last for s in batch]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
             flat = np.frombuffer(b"".join(ids), dtype=np.int32)
@@ -280,7 +288,7 @@ def decode_column(spark: SparkSession, v: Vocabulary):
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = _once(Decoder, shared.value)
-        for batch in batches:
+        for batch in _small(batches):
             ids, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
             there = batch.is_valid().to_pylist()
             texts = [
