@@ -68,23 +68,25 @@ def _of_slice(codes: np.ndarray) -> np.ndarray:
 def fit_regression(texts: list[str], labels: np.ndarray, fit: Fit) -> tuple[float, np.ndarray]:
     """Bias and weight of each n-gram."""
     weights = np.zeros(1 << BITS)
-    rows = [ngrams(t) for t in texts]
+    rows = [ngrams(t).astype(np.int32) for t in texts]
     n, toxic = len(rows), labels.astype(bool)
     if n == 0 or toxic.all() or not toxic.any():
         # Nothing to tell apart: the share of toxic texts, 0.5 without any.
         share = (toxic.sum() + 1) / (n + 2)
         return float(np.log(share / (1 - share))), weights
-    ids = np.concatenate(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    p = np.bincount(ids[toxic[row]], minlength=1 << BITS)
-    q = np.bincount(ids[~toxic[row]], minlength=1 << BITS)
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for ids, label in zip(rows, toxic, strict=True):
+        (p if label else q)[ids] += 1  # a text's ids are distinct
     ratio = np.log((p + fit.smoothing) / (toxic.sum() + fit.smoothing))
     ratio -= np.log((q + fit.smoothing) / ((~toxic).sum() + fit.smoothing))
     used = np.flatnonzero((p + q >= fit.least_texts) & (np.abs(ratio) >= fit.least_ratio))
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
-    kept = number[ids] >= 0
-    column, row, r = number[ids[kept]], row[kept], ratio[used]
+    for i, ids in enumerate(rows):  # only what is used stays in memory
+        of_row = number[ids]
+        rows[i] = of_row[of_row >= 0]
+    column, r = np.concatenate(rows), ratio[used]
+    row = np.repeat(np.arange(n), [len(x) for x in rows])
     value = r[column]
     # Each label weighs the same in sum, whatever its share of the sample.
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * n
