@@ -7,9 +7,11 @@ the sketch, and so in that order too, are candidates; they are linked if alignin
 (1 - similarity) times the longer one's words in insertions, deletions and substitutions.
 Classes are the connected components of the links.
 
-In a bucket of candidates the first round aligns its least id with all others. While texts
-of a bucket lie in different components, further rounds take a few other pivots there, until
-a round finds no link; so a bucket's pairs grow with its size, not with the square of it.
+In a bucket of candidates the first round aligns its least id with all others, and where
+texts of a bucket still lie in different components a few further rounds take some other
+pivots there. They join most texts at a cost that grows with a bucket's size. Then all pairs
+that are left in a bucket, of different components, are tested, so the classes are those of
+all candidates: of long texts only pairs that lengths, words and word pairs allow are aligned.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ class Sketch:
 
 
 PIVOTS = 4  # of a bucket in a round after the first
+ROUNDS = 2  # of pivots, before all pairs that are left are tested; results don't depend on it
+SMALL, BLOCK = 64, 1024  # members of a bucket that is joined with itself, and of a larger one's blocks
 BINS = 128  # classes of words by which texts are compared before they are aligned; a power of 2
 _CELLS = 1 << 20  # hashes of a text that are held at a time
 
@@ -120,12 +124,24 @@ def _quickly(a: np.ndarray, b: np.ndarray, limit: int) -> bool | None:
         return True
     if len(a) - len(b) > limit or not len(b):
         return False
+    if len(a) - _shared(a, b) > limit:
+        return False
+    # An edit takes at most two of the pairs of neighbours in a.
+    if len(a) - 1 > 2 * limit and len(b) > 1:
+        first, second = ((x[:-1].astype(np.int64) << 32) + x[1:] for x in (a, b))
+        if len(first) - _shared(first, second) > 2 * limit:
+            return False
+    return None
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values a and b share, each as often as both have it."""
     words = np.sort(b)
     kinds = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
     counts = np.diff(np.append(kinds, len(words)))
     place = np.minimum(np.searchsorted(words[kinds], a), len(kinds) - 1)
     shared = np.bincount(place[words[kinds][place] == a], minlength=len(kinds))
-    return False if len(a) - np.minimum(shared, counts).sum() > limit else None
+    return int(np.minimum(shared, counts).sum())
 
 
 def _band(group: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -329,18 +345,20 @@ def classes(
     links = settle(_aligned(tested, words, sketch.similarity))
     ids = firsts.select("id").distinct()
     labels = settle(_relabelled(ids.withColumn("label", F.col("id")), components(links)))
-    still, turn = _still_open(members.select("bucket", "id").join(labels, "id").join(bags, "id")), 0
+    still = _still_open(members.select("bucket", "id").join(labels, "id").join(bags, "id"))
     joined = []
-    while True:
-        turn += 1
-        pairs = settle(_next_pairs(still, tested, turn, sketch.similarity))
+    for turn in range(1, ROUNDS + 2):
+        pivots = turn <= ROUNDS
+        some = _next_pairs(still, turn, sketch.similarity) if pivots else _all_pairs(still, sketch.similarity)
+        pairs = settle(some.join(tested, ["a", "b"], "left_anti"))
         found = _aligned(pairs, words, sketch.similarity).join(pairs, ["a", "b"])
         links = settle(found.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
         if not links.limit(1).count():
-            break
+            continue
         joined.append(links)
-        still = _still_open(_relabelled(still, components(links)))
-        tested = tested.unionByName(pairs.select("a", "b"))
+        if pivots:
+            still = _still_open(_relabelled(still, components(links)))
+            tested = tested.unionByName(pairs.select("a", "b"))
     if joined:
         labels = _relabelled(labels, components(reduce(DataFrame.unionByName, joined)))
     of_text = firsts.select("key", "id").join(labels, "id").select("key", F.col("label").alias("class_id"))
@@ -378,8 +396,8 @@ def _still_open(members: DataFrame) -> DataFrame:
     return settle(members.join(mixed_.where("low <> high").select("bucket"), "bucket", "left_semi"))
 
 
-def _next_pairs(members: DataFrame, tested: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs not yet tested of a bucket's pivots with its members of other labels.
+def _next_pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs of a bucket's pivots with its members of other labels.
 
     The pivots are the PIVOTS members of least hash in this turn; in smaller buckets all
     members are, and all that is left of such a bucket is tested at once.
@@ -392,13 +410,84 @@ def _next_pairs(members: DataFrame, tested: DataFrame, turn: int, similarity: fl
     near = F.expr("x.bucket = y.bucket AND label <> pivot_label") & _may_be_similar("x", "y", similarity)
     met = members.alias("x").join(pivots.alias("y"), near).select("id", "label", "pivot", "pivot_label")
     first = F.col("id") < F.col("pivot")
-    pairs = met.select(
+    return met.select(
         F.least("id", "pivot").alias("a"),
         F.greatest("id", "pivot").alias("b"),
         F.when(first, F.col("label")).otherwise(F.col("pivot_label")).alias("a_label"),
         F.when(first, F.col("pivot_label")).otherwise(F.col("label")).alias("b_label"),
     ).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket's members of different labels whose lengths and bags allow a link.
+
+    A larger bucket lies in blocks by length; each meets itself and the blocks of longer texts
+    that its own may be like.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    small = members.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    near = F.expr("x.bucket = y.bucket AND x.id < y.id AND x.label <> y.label")
+    near = near & _may_be_similar("x", "y", similarity)
+    of_small = small.alias("x").join(small.alias("y"), near).select(
+        F.col("x.id").alias("a"),
+        F.col("y.id").alias("b"),
+        F.col("x.label").alias("a_label"),
+        F.col("y.label").alias("b_label"),
+    )
+
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("n_words", "id"))
+    large = members.join(sizes.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
+    large = settle(large.withColumn("block", F.floor((place - 1) / BLOCK)))
+    blocks = large.groupBy("bucket", "block").agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"))
+    meeting = blocks.select("bucket", F.col("block").alias("xb"), F.col("high").alias("x_high")).join(
+        blocks.select("bucket", F.col("block").alias("yb"), F.col("low").alias("y_low")), "bucket"
+    )
+    meeting = meeting.where((F.col("xb") <= F.col("yb")) & (similarity * F.col("y_low") <= F.col("x_high") + 1e-6))
+    meeting = meeting.select("bucket", "xb", "yb")
+
+    def side(name: str) -> DataFrame:
+        rows = large.withColumnRenamed("block", name).join(meeting, ["bucket", name])
+        # New names, as both sides come from the same columns.
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("bucket", "xb", "yb", "id", "label", "n_words", "bag")]
+        return rows.select(*own).groupBy(f"{name}_bucket", f"{name}_xb", f"{name}_yb")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _met(left, right, similarity)
+
+    of_large = side("xb").cogroup(side("yb")).applyInArrow(meet, "a long, b long, a_label long, b_label long")
+    return of_small.unionByName(of_large).distinct()
+
+
+def _met(left: pa.Table, right: pa.Table, similarity: float) -> pa.Table:
+    """The pairs of two blocks, or of one with itself, as in _may_be_similar."""
+
+    left, right = (side.rename_columns([c[3:] for c in side.column_names]) for side in (left, right))
+
+    def arrays(side: pa.Table) -> tuple[np.ndarray, ...]:
+        ids, labels, sizes = (side[c].to_numpy() for c in ("id", "label", "n_words"))
+        bags = np.concatenate([x.flatten().to_numpy() for x in side["bag"].chunks])
+        return ids, labels, sizes, bags.reshape(len(ids), BINS).astype(np.int16)
+
+    (a, a_label, a_size, a_bag), (b, b_label, b_size, b_bag) = arrays(left), arrays(right)
+    same = left["xb"][0] == left["yb"][0]
+    out: list[tuple] = []
+    for i in range(len(a)):
+        apart = np.abs(b_size - a_size[i])
+        limit = 2 * np.floor((1 - similarity) * np.maximum(b_size, a_size[i]) + 1e-9)
+        at = (b_label != a_label[i]) & (2 * apart <= limit)
+        at = np.flatnonzero(at & (b > a[i]) if same else at)
+        at = at[np.abs(b_bag[at] - a_bag[i]).sum(axis=1) + apart[at] <= limit[at]]
+        first = a[i] < b[at]
+        out.append(
+            (
+                np.minimum(a[i], b[at]),
+                np.maximum(a[i], b[at]),
+                np.where(first, a_label[i], b_label[at]),
+                np.where(first, b_label[at], a_label[i]),
+            )
+        )
+    names = ("a", "b", "a_label", "b_label")
+    return pa.table({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(names)})
 
 
 def deduplicate(

@@ -201,6 +201,30 @@ def test_near_duplicates_of_groups_and_odd_rows(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_mixed_bucket(spark, monkeypatch):
+    """Pairs in a bucket of texts that share a passage only, which is all that they share."""
+    rng = np.random.default_rng(11)
+    passage = list(range(120))
+    rows, sketch = {}, order_minhash.Sketch(sampled=1, components=1)
+    for i in range(200):
+        words = passage + list(rng.integers(10**3, 10**6, 60))
+        rows[i] = words
+        rows[1000 + i] = words[:120] + [int(rng.integers(10**3, 10**6)) if j % 4 == 1 else w for j, w in enumerate(words[120:])]
+    docs = [(i, " ".join(f"w{x}" for x in w)) for i, w in rows.items()]
+    sketches = {}
+    for i, t in docs:
+        ((_, _, w),) = word_hashes(pa.array([t]))
+        sketches[i] = order_minhash.order_minhash(w, sketch)[0]
+    alike = [i for i in range(200) if sketches[i] == sketches[1000 + i]]
+    mixed, n = Counter(sketches.values()).most_common(1)[0]
+    assert n > 130 and sum(sketches[i] == mixed for i in alike) > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (order_minhash.BLOCK, 50):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in order_minhash.classes(df, sketch).collect()}
+        assert got == {i: i - 1000 if i - 1000 in alike else i for i in rows}
+
+
 # 4
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
