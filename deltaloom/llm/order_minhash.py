@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,16 @@ from ._words import mixed, shingle_hashes, word_hashes
 
 @dataclass(frozen=True)
 class Sketch:
-    """words: in a k-mer; sampled: k-mers in a component; components: of a sketch."""
+    """words: in a k-mer; sampled: k-mers in a component; components: of a sketch.
+
+    dense: further components of one k-mer of 3 words, or 2 for short texts. At 20 % of
+    scattered edits such k-mers have a Jaccard similarity of 0.34, and 16 miss 0.1 %.
+    """
 
     words: int = 5
     sampled: int = 2
     components: int = 32
+    dense: int = 16
     similarity: float = 0.8
 
 
@@ -77,6 +83,48 @@ def order_minhash(words: np.ndarray, sketch: Sketch) -> np.ndarray:
     return out
 
 
+SHORT = 14  # words of texts that are found by what is left after deletions
+_WIDE_FROM, _NARROW_TO = 41, 50  # words of texts with dense components of 3, and of 2 words
+
+
+def candidate_keys(words: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """What texts must share one of to be candidates: the sketch, dense components, deletions."""
+    out = [order_minhash(words, sketch)]
+    if sketch.dense and len(words):
+        # Similar texts are of the same kind: the lengths of both kinds overlap by over a fifth.
+        narrow_to = max(_NARROW_TO, math.ceil((_WIDE_FROM - 1) / max(sketch.similarity, 0.01)))
+        for width, fits in ((3, len(words) >= _WIDE_FROM), (2, len(words) <= narrow_to)):
+            if fits:
+                dense = order_minhash(words, Sketch(width, 1, sketch.dense))
+                out.append(mixed(dense + np.uint64(width)))
+        if len(words) <= SHORT:
+            out.append(_with_deletions(words, sketch.similarity))
+    return np.concatenate(out)
+
+
+def _with_deletions(words: np.ndarray, similarity: float) -> np.ndarray:
+    """A hash of each rest of a short text after as many deletions as its longest like text allows.
+
+    Texts that e edits make equal have a common rest after at most e deletions in each.
+    """
+    n = len(words)
+    most = max(_edits(m, similarity) for m in range(n, SHORT + 1) if m - _edits(m, similarity) <= n)
+    out = []
+    for left in range(max(0, n - most), n + 1):
+        kept = words[_choices(n, left)]
+        total = np.full(len(kept), left + 1, dtype=np.uint64)
+        for j in range(left):
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + kept[:, j])
+        out.append(total)
+    return np.unique(np.concatenate(out))
+
+
+@lru_cache(256)
+def _choices(n: int, taken: int) -> np.ndarray:
+    every = list(combinations(range(n), taken))
+    return np.array(every, dtype=np.int64).reshape(len(every), taken)
+
+
 def within(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """For each (a, b, limit), whether the edit distance of a and b is at most limit."""
     out = np.zeros(len(pairs), dtype=bool)
@@ -215,7 +263,7 @@ def _sketched(docs: DataFrame, sketch: Sketch) -> DataFrame:
         for batch in batches:
             for first, counts, words in word_hashes(batch["text"]):
                 ends = np.cumsum(counts)
-                rows = [order_minhash(words[e - n : e], sketch) for n, e in zip(counts, ends, strict=True)]
+                rows = [candidate_keys(words[e - n : e], sketch) for n, e in zip(counts, ends, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 flat = np.concatenate(rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays(

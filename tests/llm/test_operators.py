@@ -205,7 +205,7 @@ def test_near_duplicates_of_a_large_mixed_bucket(spark, monkeypatch):
     """Pairs in a bucket of texts that share a passage only, which is all that they share."""
     rng = np.random.default_rng(11)
     passage = list(range(120))
-    rows, sketch = {}, order_minhash.Sketch(sampled=1, components=1)
+    rows, sketch = {}, order_minhash.Sketch(sampled=1, components=1, dense=0)
     for i in range(200):
         words = passage + list(rng.integers(10**3, 10**6, 60))
         rows[i] = words
@@ -225,6 +225,26 @@ def test_near_duplicates_of_a_large_mixed_bucket(spark, monkeypatch):
         assert got == {i: i - 1000 if i - 1000 in alike else i for i in rows}
 
 
+def test_near_duplicates_at_the_limit_of_edits(spark):
+    """Scattered edits in a fifth of the words, and one or two in short texts."""
+    rng = np.random.default_rng(12)
+    rows = {}
+    for i in range(240):
+        n = int(rng.integers(5, 15)) if i % 2 else int(rng.integers(15, 300))
+        words = [int(x) for x in rng.integers(0, 10**6, n)]
+        rows[i] = words
+        other = list(words)
+        for at in rng.choice(n, int(0.2 * n + 1e-9), replace=False):
+            other[at] = int(rng.integers(10**6, 2 * 10**6))
+        rows[1000 + i] = other
+    rows[5000], rows[5001] = [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    missed = {i for i in range(240) if got[1000 + i] != i}
+    assert not {i for i in missed if len(rows[i]) < 15} and len(missed) <= 1
+    assert got[5001] == 5000
+
+
 # 4
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
