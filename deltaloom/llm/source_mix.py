@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ._common import shuffle_parts
 
 OTHER = "*other*"
+#: Largest rate whose distribution is written into the plan; those of larger ones are a small table.
+PLANNED = 1000.0
+PART = 1 << 16  # copies of a row that are made at a time
 HASH_DIGITS = 13  # hexadecimal digits of an md5: 52 bits, exact in a double
 
 
@@ -37,13 +40,28 @@ def poisson_steps(rate: float) -> list[float]:
     return out
 
 
+def poisson_middle(rate: float) -> tuple[int, list[float]]:
+    """A count, and the distribution function from it on, of a large rate.
+
+    What lies 12 deviations or more away has less than 2**-90 and isn't kept; the sum is
+    scaled to 1, as the terms' logarithms are large.
+    """
+    away = 12 * math.sqrt(rate) + 30
+    first = max(0, int(rate - away))
+    out, total = [], 0.0
+    for k in range(first, int(rate + away) + 1):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out.append(total)
+    return first, [p / total for p in out]
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float],
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
-    max_rate: float = 1000.0,
+    max_rate: float | None = None,
 ) -> DataFrame:
     """Each row of docs, as often as its source's target weight asks, in a random order.
 
@@ -55,8 +73,9 @@ def mix_sources(
     order the rows lie in their partitions); columns of docs by these names are replaced.
     Rows of one id get equal counts; null ids are hashed as such. An empty table gives none.
 
-    Counts of the named sources reach the driver: as many rows as weights has keys. A rate
-    over max_rate is refused, as it asks for a source hardly there.
+    Counts of the named sources reach the driver: as many rows as weights has keys. A source
+    that is hardly there gets as many copies of its rows as its weight asks; a rate over
+    max_rate, if one is given, is refused.
     """
     group = F.when(F.col(source_col).isin([k for k in weights if k != OTHER]), F.col(source_col))
     group = F.coalesce(group, F.lit(OTHER))
@@ -64,25 +83,41 @@ def mix_sources(
     there = {k: float(weights.get(k, 0.0)) for k in sizes}
     total, asked = sum(sizes.values()), sum(there.values()) or 1.0
     rates = {k: w / asked * total / sizes[k] for k, w in there.items()}
-    if any(r > max_rate for r in rates.values()):
+    if max_rate is not None and any(r > max_rate for r in rates.values()):
         raise ValueError(f"a source would be repeated over {max_rate} times: {rates}")
     none = F.array().cast("array<double>")
     steps = none
-    if rates:
+    planned = {k: r for k, r in rates.items() if r <= PLANNED}
+    large = [(k, *poisson_middle(r)) for k, r in sorted(rates.items()) if r > PLANNED]
+    if planned:
         steps = F.create_map(
             *[
                 x
-                for k, r in sorted(rates.items())
+                for k, r in sorted(planned.items())
                 for x in (F.lit(k), F.array(*[F.lit(p) for p in poisson_steps(r)]))
             ]
         )[group]
     drawn = uniform(F.col(id_col), seed)
-    copies = F.aggregate(
-        steps, F.lit(0), lambda n, p: n + F.when(p < drawn, 1).otherwise(0)
-    )
+
+    def counted(steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, p: n + F.when(p < drawn, 1).otherwise(0))
+
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
+    if large:
+        spark = docs.sparkSession
+        middles = spark.createDataFrame(large, "__group string, __first long, __steps array<double>")
+        copies = F.coalesce(F.col("__first") + counted(F.col("__steps")), counted(steps))
+        each = docs.join(F.broadcast(middles), group == F.col("__group"), "left").select(*kept, copies.alias("__copies"))
+        parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / PART))
+        each = each.where("__copies > 0").select(*kept, "__copies", F.explode(parts).alias("__part"))
+        begin = F.col("__part") * PART
+        numbers = F.sequence(begin, F.least(begin + PART, F.col("__copies")) - 1)
+        made = each.select(*kept, F.explode(numbers).alias("mix_copy"))
+    else:
+        repeated = F.array_repeat(F.lit(0), counted(steps))
+        made = docs.select(*kept, F.posexplode(repeated).alias("mix_copy", "__zero"))
     out = (
-        docs.select(*kept, F.posexplode(F.array_repeat(F.lit(0), copies)).alias("mix_copy", "__zero"))
+        made
         .drop("__zero")
         .withColumn("mix_copy", F.col("mix_copy").cast("long"))
         .withColumn(

@@ -394,6 +394,24 @@ def test_mixing(spark):
         assert abs(sum(1 - s for s in steps) - rate) < 1e-9
 
 
+def test_mixing_of_a_source_hardly_there(spark):
+    """One row with a null source among many, over what a plan holds and over one part of copies."""
+    docs = spark.range(400_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "a").alias("source")
+    )
+    weights = {"a": 0.75, source_mix.OTHER: 0.25}
+    counts = {r.source: r for r in source_mix.mix_sources(docs, weights).groupBy("source").agg(
+        F.count("*").alias("n"), F.min("mix_copy").alias("low"), F.max("mix_copy").alias("high"),
+        F.countDistinct("mix_copy").alias("kinds"),
+    ).collect()}
+    assert abs(counts[None].n - 100_000) < 6 * 100_000**0.5 and abs(counts["a"].n - 300_000) < 6 * 300_000**0.5
+    assert (counts[None].low, counts[None].high, counts[None].kinds) == (0, counts[None].n - 1, counts[None].n)
+    for rate in (1.5, 40.0, 900.0):
+        first, steps = source_mix.poisson_middle(rate)
+        whole = source_mix.poisson_steps(rate)
+        assert np.allclose(steps, whole[first : first + len(steps)], atol=1e-12)
+
+
 # 8 and 9
 
 
