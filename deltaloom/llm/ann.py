@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import settle
+
 CANDIDATES, QUERIES = 8192, 2048  # rows of a bucket that meet in a group, about
 #: On vectors without any structure (64 components, neighbours at 0.75 of the usual distance)
 #: these find 0.99 of the ten nearest; clustered vectors need less.
 TABLES, PROBES = 8, 16
+ALL_AXES = 1 << 30  # more than any vector has
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -82,11 +85,11 @@ def nearest(
     Ties go to the smaller id; a candidate with the query's own id is left out, and an id
     counts once, at its least distance, however often it occurs. Rows with a null id, a null
     or zero vector, or a null or non-finite component take no part; vectors of different
-    lengths are never compared. Other columns are not read. A query of whose buckets hold
-    fewer than k candidates gets those; with no queries or candidates there are no rows.
+    lengths are never compared. Other columns are not read. A query whose buckets hold fewer
+    than k candidates is compared with all; with no queries or candidates there are no rows.
     """
 
-    def rows(df: DataFrame, probes: int) -> DataFrame:
+    def rows(df: DataFrame, tables: int, probes: int) -> DataFrame:
         limit = F.lit(float("inf"))
         v = F.col(vector_col).cast("array<double>")
         usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
@@ -99,8 +102,23 @@ def nearest(
             "id", "v", F.size("v").alias("dim"), F.floor(F.col("at") / F.col("per")).alias("tab"), "axis"
         )
 
+    found = settle(_found(rows(queries, tables, probes), rows(candidates, tables, 1), k))
+    # A candidate lies on one axis of a table, so all axes of one table reach every candidate.
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    few = queries.join(enough, F.col(id_col).cast("long") == F.col("query_id"), "left_anti")
+    every = _found(rows(few, 1, ALL_AXES), rows(candidates, 1, 1), k)
+    found = found.unionByName(every).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return (
+        found.withColumn("rank", F.row_number().over(by_score))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _found(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id and score of the best of each group of a bucket's queries and candidates."""
     bucket = ["dim", "tab", "axis"]
-    q, c = rows(queries, probes), rows(candidates, 1)
     # One row for each bucket: at most tables * 2 * components of them for a length.
     plan = (
         c.groupBy(*bucket)
@@ -122,19 +140,13 @@ def nearest(
         return _rank(left, right, k)
 
     group = [*bucket, "qb", "cb"]
-    found = (
+    return (
         q.groupBy(*group)
         .cogroup(c.groupBy(*group))
         .applyInArrow(ranked, "query_id long, vec_id long, score double")
         .groupBy("query_id", "vec_id")
         .agg(F.min("score").alias("score"))
     )
-    by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(by_score))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
 
 
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -447,6 +447,19 @@ def test_nearest_reach_most_of_the_exact_ones(spark, small):
         assert r.score == pytest.approx(np.sqrt(((x[place[r.query_id]] - x[place[r.vec_id]]) ** 2).sum()), abs=1e-12)
 
 
+def test_nearest_reach_few_and_opposed_candidates(spark):
+    rng = np.random.default_rng(13)
+    schema = "vec_id long, embedding array<double>"
+    few = [(i, rng.normal(size=64).tolist()) for i in range(6)]
+    centre = rng.normal(size=64)
+    cluster = [(i, (centre + 0.01 * rng.normal(size=64)).tolist()) for i in range(30)]
+    for rows, asked in ((few, rng.normal(size=64)), (cluster, -centre)):
+        queries_ = spark.createDataFrame([(1000, asked.tolist())], schema)
+        got = ann.nearest(queries_, spark.createDataFrame(rows, schema), 10).collect()
+        away = sorted((np.sqrt(((np.array(v) - asked) ** 2).sum()), i) for i, v in rows)
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for _, i in away[:10]]
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
