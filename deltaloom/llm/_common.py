@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "deltaloom-"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows of df as a written table in the folder of spark.checkpoint.dir.
+    """The rows of df as a written table in the shared folder for checkpoints.
 
     Its plan is a scan of those files: a lost executor costs a read, and the optimizer sees
-    nothing of what came before. Like reliable checkpoints the tables stay until the folder's
-    owner clears it. Only where no folder is set, as in local tests, a temporary one is used.
+    nothing of what came before. Tables that a result reads stay until the folder's owner
+    clears it, like reliable checkpoints; others go by ``discard``.
     """
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{_OWN}{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{_OWN}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[settled] = path
+    return settled
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for settled in tables:
+        path = settled.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(settled))
+        path.getFileSystem(settled.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given.
+
+    Only a local session, whose tasks all run here, may have none: it gets a temporary one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return _own_folder()
+    return found
 
 
 @lru_cache(1)

@@ -7,11 +7,15 @@ the sketch, and so in that order too, are candidates; they are linked if alignin
 (1 - similarity) times the longer one's words in insertions, deletions and substitutions.
 Classes are the connected components of the links.
 
-In a bucket of candidates the first round aligns its least id with all others, and where
-texts of a bucket still lie in different components a few further rounds take some other
-pivots there. They join most texts at a cost that grows with a bucket's size. Then all pairs
-that are left in a bucket, of different components, are tested, so the classes are those of
-all candidates: of long texts only pairs that lengths, words and word pairs allow are aligned.
+Candidates are tested in three steps, none of which grows with the square of a bucket. First
+each text of a bucket is aligned with the bucket's least text; that joins nearly all copies.
+Of the buckets that still hold several components, small ones then test all pairs, and large
+ones meet another of their texts. The texts of large buckets that are open even now, each once
+whatever the number of its buckets, meet by rare word pairs: texts that need at most e edits
+share all but 2 e of their word pairs, so they share one of the 2 e + 1 rarest of each. All
+pairs of different components that share one, and that lengths, words and word pairs allow,
+are aligned. So every pair of a bucket is tested, or already joined, or told apart by a bound
+that holds for it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import discard, settle
 from ._words import mixed, shingle_hashes, word_hashes
 
 
@@ -46,9 +50,9 @@ class Sketch:
     similarity: float = 0.8
 
 
-PIVOTS = 4  # of a bucket in a round after the first
-ROUNDS = 2  # of pivots, before all pairs that are left are tested; results don't depend on it
 SMALL, BLOCK = 64, 1024  # members of a bucket that is joined with itself, and of a larger one's blocks
+GROUP = 256  # texts in a block where texts of one label meet others
+RARITY = 1 << 16  # classes of word pairs that are counted to tell rare ones; results don't depend on it
 BINS = 128  # classes of words by which texts are compared before they are aligned; a power of 2
 _CELLS = 1 << 20  # hashes of a text that are held at a time
 
@@ -58,12 +62,7 @@ def order_minhash(words: np.ndarray, sketch: Sketch) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     kmers = shingle_hashes(words, min(sketch.words, len(words)))
-    order = np.argsort(kmers, kind="stable")
-    fresh = np.flatnonzero(np.append(True, np.diff(kmers[order]) != 0))
-    occurrence = np.empty(len(kmers), np.uint64)
-    runs = np.diff(np.append(fresh, len(kmers)))
-    occurrence[order] = (np.arange(len(kmers)) - np.repeat(fresh, runs)).astype(np.uint64)
-    labelled = mixed(kmers + occurrence * np.uint64(0xD6E8FEB86659FD93))
+    labelled = mixed(kmers + _occurrence(kmers) * np.uint64(0xD6E8FEB86659FD93))
     seeds = mixed(np.arange(1, sketch.components + 1, dtype=np.uint64))
     taken, out = min(sketch.sampled, len(kmers)), np.empty(len(seeds), np.uint64)
     step = max(1, _CELLS // len(kmers))
@@ -83,6 +82,16 @@ def order_minhash(words: np.ndarray, sketch: Sketch) -> np.ndarray:
     return out
 
 
+def _occurrence(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    fresh = np.flatnonzero(np.append(True, np.diff(values[order]) != 0)[: len(values)])
+    runs = np.diff(np.append(fresh, len(values)))
+    out = np.empty(len(values), np.uint64)
+    out[order] = (np.arange(len(values)) - np.repeat(fresh, runs)).astype(np.uint64)
+    return out
+
+
 SHORT = 14  # words of texts that are found by what is left after deletions
 _WIDE_FROM, _NARROW_TO = 41, 50  # words of texts with dense components of 3, and of 2 words
 
@@ -258,7 +267,7 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (2 * apart <= limit) & (F.aggregate(counts, F.lit(0), lambda s, x: s + x) + apart <= limit)
 
 
-def _sketched(docs: DataFrame, sketch: Sketch) -> DataFrame:
+def _sketched(texts: DataFrame, sketch: Sketch) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, counts, words in word_hashes(batch["text"]):
@@ -277,7 +286,33 @@ def _sketched(docs: DataFrame, sketch: Sketch) -> DataFrame:
                     names=["id", "key", "n_words", "sketch", "bag"],
                 )
 
-    return docs.mapInArrow(make, "id long, key binary, n_words long, sketch array<long>, bag array<tinyint>")
+    return texts.mapInArrow(make, "id long, key binary, n_words long, sketch array<long>, bag array<tinyint>")
+
+
+def _nodes(texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """node, id, key, n_words, sketch and bag of each text, which its least id stands for.
+
+    A text's node is its id. Where several texts have one least id, that of the least key goes
+    by the id and each other by a number of 62 bits made from its key.
+    """
+    firsts = settle(
+        _sketched(texts, sketch)
+        .groupBy("key")
+        .agg(
+            F.min("id").alias("id"),
+            F.first("n_words").alias("n_words"),
+            F.first("sketch").alias("sketch"),
+            F.first("bag").alias("bag"),
+        )
+    )
+    of_id = firsts.groupBy("id").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    shared = of_id.where("n > 1").select("id", "least")
+    own = F.col("least").isNull() | (F.col("least") == F.col("key"))
+    number = F.xxhash64("key").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 61)
+    node = F.when(own, F.col("id")).otherwise(number).alias("node")
+    nodes = settle(firsts.join(shared, "id", "left").select(node, "id", "key", "n_words", "sketch", "bag"))
+    discard(firsts)
+    return nodes
 
 
 def _buckets(similarity: float) -> Column:
@@ -293,7 +328,7 @@ def _buckets(similarity: float) -> Column:
     )
 
 
-def _worded(docs: DataFrame) -> DataFrame:
+def _worded(texts: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, counts, words in word_hashes(batch["text"]):
@@ -301,13 +336,13 @@ def _worded(docs: DataFrame) -> DataFrame:
                 flat = pa.array((words >> np.uint64(33)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["id"].slice(first, len(counts)),
+                        batch["node"].slice(first, len(counts)),
                         pa.ListArray.from_arrays(pa.array(offsets), flat),
                     ],
-                    names=["id", "words"],
+                    names=["node", "words"],
                 )
 
-    return docs.mapInArrow(make, "id long, words array<int>")
+    return texts.mapInArrow(make, "node long, words array<int>")
 
 
 def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -328,8 +363,8 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
                 kept = first + np.flatnonzero(within(pairs))
                 yield batch.select(["a", "b"]).take(pa.array(kept))
 
-    of_b = words.select(F.col("id").alias("b"), F.col("words").alias("b_words"))
-    of_a = words.select(F.col("id").alias("a"), F.col("words").alias("a_words"))
+    of_b = words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
+    of_a = words.select(F.col("node").alias("a"), F.col("words").alias("a_words"))
     full = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "a_words", "b_words")
     return full.mapInArrow(check, "a long, b long").distinct()
 
@@ -342,16 +377,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = settle(both.distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
-    while True:
+    new = settle(
+        both.groupBy(F.col("a").alias("id")).agg(F.col("id").alias("old"), F.least(F.min("b"), F.col("id")).alias("label"))
+    )
+    while new.where(F.col("label") != F.col("old")).limit(1).count():
+        before, labels = new, new.select("id", "label")
         of_b = labels.select(F.col("id").alias("b"), F.col("label").alias("b_label"))
         least = both.join(of_b, "b").groupBy(F.col("a").alias("id")).agg(F.min("b_label").alias("least"))
         near = labels.join(least, "id").select("id", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = settle(near.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
-        if not new.where(F.col("label") != F.col("old")).limit(1).count():
-            return labels
-        labels = new.select("id", "label")
+        discard(before)
+    discard(both)
+    return new.select("id", "label")
 
 
 def classes(
@@ -368,124 +406,265 @@ def classes(
     where it has one, else null. Rows of one id are judged each by its text. Other columns
     are not read; an empty table gives none.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    key = F.when(F.length("text") > 0, F.unhex(F.sha2("text", 256)))
-    keyed = texts.withColumn("key", key)
-    sketched = _sketched(keyed.where("key IS NOT NULL AND id IS NOT NULL"), sketch)
-    firsts = settle(
-        sketched.groupBy("key").agg(
-            F.min("id").alias("id"),
-            F.first("n_words").alias("n_words"),
-            F.first("sketch").alias("sketch"),
-            F.first("bag").alias("bag"),
-        )
-    )
-    bags = firsts.select("id", "n_words", "bag")
-    spread = firsts.select("id", F.explode(_buckets(sketch.similarity)).alias("bucket"))
-    members = settle(spread.join(_distinct_buckets(spread), "bucket"))
-    wanted = members.select("id").distinct()
-    words = settle(_worded(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])))
-
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    with_a = pairs.distinct().join(bags.withColumnRenamed("id", "a"), "a").alias("x")
-    both = with_a.join(bags.alias("y"), (F.col("b") == F.col("y.id")) & _may_be_similar("x", "y", sketch.similarity))
-    tested = settle(both.select("a", "b").distinct())
-    links = settle(_aligned(tested, words, sketch.similarity))
-    ids = firsts.select("id").distinct()
-    labels = settle(_relabelled(ids.withColumn("label", F.col("id")), components(links)))
-    still = _still_open(members.select("bucket", "id").join(labels, "id").join(bags, "id"))
-    joined = []
-    for turn in range(1, ROUNDS + 2):
-        pivots = turn <= ROUNDS
-        some = _next_pairs(still, turn, sketch.similarity) if pivots else _all_pairs(still, sketch.similarity)
-        pairs = settle(some.join(tested, ["a", "b"], "left_anti"))
-        found = _aligned(pairs, words, sketch.similarity).join(pairs, ["a", "b"])
+    keyed = _keyed(docs, id_col, text_col)
+    nodes, labels = _labelled(keyed, sketch)
+    of_text = nodes.select("key", "node").join(labels, "node").select("key", F.col("label").alias("class_id"))
+    of_row = keyed.select(F.col("id").alias("doc_id"), "key").join(of_text, "key", "left")
+    return of_row.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and key, which is null for a text that is null or empty."""
+    key = F.when(F.length(text_col) > 0, F.unhex(F.sha2(text_col, 256)))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+
+
+def _labelled(keyed: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
+    """The nodes (node, id, key), and the label of each node: the least node of its class."""
+    texts = keyed.where("key IS NOT NULL AND id IS NOT NULL")
+    full = _nodes(texts, sketch)
+    held = settle(_held(full, sketch))
+    met = settle(held.select("a", F.col("node").alias("b")).distinct())
+    bags = full.select("node", "n_words", "bag")
+    wanted = full.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    of_nodes = texts.join(wanted.select("id", "key", "node"), ["id", "key"]).dropDuplicates(["id", "key"])
+    words = settle(_worded(of_nodes.select("node", "text")))
+    labels = settle(full.select("node", F.col("node").alias("label")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The labels of pairs (a, b, a_label, b_label) whose texts are similar."""
+        pairs = settle(pairs)
+        found = _aligned(pairs.select("a", "b"), words, sketch.similarity).join(pairs, ["a", "b"])
         links = settle(found.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
-        if not links.limit(1).count():
-            continue
-        joined.append(links)
-        if pivots:
-            still = _still_open(_relabelled(still, components(links)))
-            tested = tested.unionByName(pairs.select("a", "b"))
-    if joined:
-        labels = _relabelled(labels, components(reduce(DataFrame.unionByName, joined)))
-    of_text = firsts.select("key", "id").join(labels, "id").select("key", F.col("label").alias("class_id"))
-    return keyed.select(F.col("id").alias("doc_id"), "key").join(of_text, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")
-    )
+        discard(pairs)
+        return links
+
+    def joined(links: DataFrame) -> DataFrame:
+        after = settle(_relabelled(labels, components(links)))
+        discard(links, labels)
+        return after
+
+    first = _near(met, bags, sketch.similarity)
+    labels = joined(linked(first.select("a", "b", F.col("a").alias("a_label"), F.col("b").alias("b_label"))))
+    still = settle(_still_open(held.where("n > 2").select("bucket", "n", "node"), labels))
+    large = still.where(F.col("n") > SMALL)
+    some = _pairs_of_small(still.where(F.col("n") <= SMALL).join(bags, "node"), sketch.similarity)
+    labels = joined(linked(some.unionByName(_near(_pivot_pairs(large), bags, sketch.similarity)).distinct()))
+    left = _still_open(large.select("bucket", "n", "node"), labels).select("node", "label").distinct()
+    own = settle(left.join(words, "node").join(bags, "node"))
+    members = settle(_rare_members(own, sketch.similarity))
+    of_single = linked(_all_pairs(members.where("alone").join(bags, "node"), sketch.similarity))
+    of_many = settle(_met_groups(members, own, sketch.similarity))
+    labels = joined(settle(of_single.unionByName(of_many)))
+    nodes = settle(full.select("node", "id", "key"))
+    discard(full, held, met, words, still, own, members, of_single, of_many)
+    return nodes, labels
+
+
+def _held(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """bucket, n, a and node: the texts of buckets of n texts, without the bucket's least node a.
+
+    Buckets are counted before they are joined, so one of many texts costs a row for each.
+    """
+    spread = nodes.select("node", F.explode(_buckets(sketch.similarity)).alias("bucket"))
+    several = spread.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return spread.join(several, "bucket").where("node <> a")
 
 
-def _distinct_buckets(spread: DataFrame) -> DataFrame:
-    """bucket and pivot, its least id, of buckets of several members; one for each set of them.
+def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (bucket, n, node) with the labels of their nodes, of buckets that hold several.
 
-    Sets are compared by size, least id and two sums of hashes. The next class of length often
-    has the same members, and so have components that fall into one copied text.
+    Their least node isn't among them: it has met all others.
     """
-    number = F.xxhash64("id")
-    sums = spread.groupBy("bucket").agg(
-        F.min("id").alias("pivot"),
-        F.count("*").alias("n"),
-        F.bit_xor(number).alias("xor"),
-        F.sum(F.shiftright(number, 24)).alias("sum"),
+    labelled = rows.join(labels, "node")
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return labelled.join(several.where("low <> high").select("bucket"), "bucket", "left_semi")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Members of each bucket with the one of least hash, if their labels differ."""
+    drawn = F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket"))
+    pivots = members.groupBy("bucket").agg(drawn.alias("pivot"))
+    met = members.join(pivots, "bucket").where("label <> pivot.label")
+    first = F.col("node") < F.col("pivot.node")
+    return met.select(
+        F.least("node", "pivot.node").alias("a"),
+        F.greatest("node", "pivot.node").alias("b"),
+        F.when(first, F.col("label")).otherwise(F.col("pivot.label")).alias("a_label"),
+        F.when(first, F.col("pivot.label")).otherwise(F.col("label")).alias("b_label"),
+    ).distinct()
+
+
+def _pairs_of_small(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket's members of different labels whose lengths and bags allow a link."""
+    near = F.expr("x.bucket = y.bucket AND x.node < y.node AND x.label <> y.label")
+    near = near & _may_be_similar("x", "y", similarity)
+    return members.alias("x").join(members.alias("y"), near).select(
+        F.col("x.node").alias("a"),
+        F.col("y.node").alias("b"),
+        F.col("x.label").alias("a_label"),
+        F.col("y.label").alias("b_label"),
     )
-    alike = sums.where("n > 1").groupBy("pivot", "n", "xor", "sum")
-    return alike.agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")
 
 
-def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """rows with the new label of each label, where joined (id, label) has one."""
-    new = joined.select(F.col("id").alias("label"), F.col("label").alias("new"))
-    return rows.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+def _near(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose lengths and bags allow a link."""
+    x, y = bags.withColumnRenamed("node", "a"), bags.withColumnRenamed("node", "b")
+    with_a = pairs.join(x, "a").alias("x")
+    both = with_a.join(y.alias("y"), (F.col("x.b") == F.col("y.b")) & _may_be_similar("x", "y", similarity))
+    return both.select(*[f"x.{c}" for c in pairs.columns])
 
 
-def _still_open(members: DataFrame) -> DataFrame:
-    """Members (bucket, id, label) of the buckets that hold more than one label."""
-    mixed_ = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return settle(members.join(mixed_.where("low <> high").select("bucket"), "bucket", "left_semi"))
+def _rare_members(texts: DataFrame, similarity: float) -> DataFrame:
+    """bucket, n, label, node and alone of texts (node, label, words) in buckets of a rare word pair each.
 
+    Rare is what falls into classes of few word pairs of the texts at hand; any order that is
+    the same for all texts gives the same links. Buckets of one label are left out. Texts of
+    one label in a bucket are one row; alone says that no other text at all has the label.
+    """
 
-def _next_pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs of a bucket's pivots with its members of other labels.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for pairs in _pairs_of(batch["words"]):
+                total += np.bincount(pairs >> np.uint64(48), minlength=RARITY)
+        kinds = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(total[kinds])], ["kind", "n"])
+
+    counts = np.zeros(RARITY, np.int64)
+    for r in texts.mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind] = r.n
+    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.uint16)  # RARITY rows at most
 
-    The pivots are the PIVOTS members of least hash in this turn; in smaller buckets all
-    members are, and all that is left of such a bucket is tested at once.
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pairs in _pairs_of(batch["words"]):
+                n = _prefix(len(pairs), similarity)
+                order = (rank[pairs >> np.uint64(48)].astype(np.uint64) << np.uint64(48)) | (pairs & np.uint64((1 << 48) - 1))
+                rows.append(pairs[np.argpartition(order, n - 1)[:n]] if n < len(pairs) else pairs)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            flat = pa.array(np.concatenate(rows).view(np.int64) if rows else [], pa.int64())
+            buckets = pa.ListArray.from_arrays(pa.array(offsets), flat)
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["label"], buckets], ["node", "label", "buckets"])
+
+    each = texts.select("node", "label", "words").mapInArrow(rarest, "node long, label long, buckets array<long>")
+    of_label = texts.groupBy("label").agg((F.count("*") == 1).alias("alone"))
+    spread = each.join(of_label, "label").select(F.explode("buckets").alias("bucket"), "node", "label", "alone")
+    rows = spread.groupBy("bucket", "label").agg(F.min("node").alias("node"), F.first("alone").alias("alone"))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(several, "bucket")
+
+
+def _met_groups(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of labels of several texts with labels whose texts share a rare word pair.
+
+    Texts meet in blocks of both sides, so what travels is texts and not their pairs.
     """
-    drawn = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket", F.lit(turn)), "id")
-    pivots = members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS)
-    pivots = pivots.select(
-        "bucket", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"), "n_words", "bag"
-    )
-    near = F.expr("x.bucket = y.bucket AND label <> pivot_label") & _may_be_similar("x", "y", similarity)
-    met = members.alias("x").join(pivots.alias("y"), near).select("id", "label", "pivot", "pivot_label")
-    first = F.col("id") < F.col("pivot")
-    return met.select(
-        F.least("id", "pivot").alias("a"),
-        F.greatest("id", "pivot").alias("b"),
-        F.when(first, F.col("label")).otherwise(F.col("pivot_label")).alias("a_label"),
-        F.when(first, F.col("pivot_label")).otherwise(F.col("label")).alias("b_label"),
-    ).distinct()
+    x, y = members.where("NOT alone").alias("x"), members.alias("y")
+    once = F.expr("x.bucket = y.bucket AND x.label <> y.label AND (y.alone OR x.label < y.label)")
+    meeting = settle(x.join(y, once).select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).distinct())
+    wide = texts.select("node", "label", "words", "n_words", "bag")
+    of_a = meeting.select("a").distinct().join(wide.withColumnRenamed("label", "a"), "a")
+    of_b = meeting.join(wide.withColumnRenamed("label", "b"), "b")
+    a_parts = of_a.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("a_part_parts"))
+    b_parts = of_b.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("b_part_parts"))
+    sizes = settle(a_parts.join(b_parts, "a"))
+
+    def side(rows: DataFrame, label: str, own: str, other: str, name: str) -> DataFrame:
+        placed = rows.join(sizes, "a").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}_parts")))
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)))
+        placed = placed.withColumn("label", F.col(label))
+        # New names, as both sides come from the same columns.
+        key = ("a", "a_part", "b_part")
+        rest = ("label", "node", "words", "n_words", "bag")
+        return placed.select(*[F.col(c).alias(f"{name}_{c}") for c in key + rest]).groupBy(*[f"{name}_{c}" for c in key])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        left, right = (side.rename_columns([c[2:] for c in side.column_names]) for side in (left, right))
+        (_, a_label, a_size, a_bag), (_, b_label, b_size, b_bag) = _arrays(left), _arrays(right)
+        a_words, b_words = (list(_lists(x["words"])) for x in (left, right))
+        for j in range(len(b_label) if len(a_label) else 0):
+            if (int(a_label[0]), int(b_label[j])) in found:
+                continue
+            at = _may_be_similar_to(j, (b_size, b_bag), (a_size, a_bag), similarity)
+            at = at[np.argsort(np.abs(a_bag[at] - b_bag[j]).sum(axis=1), kind="stable")]
+            for start in range(0, len(at), 64):
+                some = [(a_words[i], b_words[j], _edits(max(a_size[i], b_size[j]), similarity)) for i in at[start : start + 64]]
+                if within(some).any():
+                    found.add((int(a_label[0]), int(b_label[j])))
+                    break
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
+
+    x, y = side(of_a, "a", "a_part", "b_part", "x"), side(of_b, "b", "b_part", "a_part", "y")
+    return x.cogroup(y).applyInArrow(meet, "a long, b long").distinct()
+
+
+def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for x in column.chunks:
+        flat, ends = x.values.to_numpy(), x.offsets.to_numpy()
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            yield flat[start:end]
+
+
+def _arrays(side: pa.Table) -> tuple[np.ndarray, ...]:
+    """node, label, n_words and bag of the texts of a block."""
+    nodes, labels, sizes = (side[c].to_numpy() for c in ("node", "label", "n_words"))
+    bags = np.concatenate([x.flatten().to_numpy() for x in side["bag"].chunks]) if len(side) else np.zeros(0, np.int8)
+    return nodes, labels, sizes, bags.reshape(len(nodes), BINS).astype(np.int16)
+
+
+def _may_be_similar_to(i: int, own: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
+    """Places of the others for which _may_be_similar holds with text i."""
+    (size, bag), (sizes, bags) = own, others
+    apart = np.abs(sizes - size[i])
+    limit = 2 * np.floor((1 - similarity) * np.maximum(sizes, size[i]) + 1e-9)
+    at = np.flatnonzero(2 * apart <= limit)
+    return at[np.abs(bags[at] - bag[i]).sum(axis=1) + apart[at] <= limit[at]]
+
+
+def _pairs_of(words: pa.Array) -> Iterator[np.ndarray]:
+    """For each text, a hash of each of its word pairs and the number of its occurrence.
+
+    The first word has a pair with nothing, so there are as many as words; an edit changes two.
+    """
+    flat, ends = words.values.to_numpy().astype(np.uint64), words.offsets.to_numpy()
+    for start, end in zip(ends[:-1], ends[1:], strict=True):
+        own = flat[start:end] + np.uint64(1)
+        pairs = mixed(own * np.uint64(0x9E3779B97F4A7C15) + np.append(np.uint64(0), own[:-1])[: len(own)])
+        yield mixed(pairs + _occurrence(pairs) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a bucket's members of different labels whose lengths and bags allow a link.
+@lru_cache(1 << 16)
+def _prefix(n: int, similarity: float) -> int:
+    """How many of a text's n word pairs, in an order for all, hold one that any like text has there too.
 
-    A larger bucket lies in blocks by length; each meets itself and the blocks of longer texts
-    that its own may be like.
+    Texts of n and m words, m the more, share at least m - 2 e(m) pairs, so one stands among the
+    first n - (m - 2 e(m)) + 1 of both; the largest such number, with the roles changed as well.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    small = members.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
-    near = F.expr("x.bucket = y.bucket AND x.id < y.id AND x.label <> y.label")
-    near = near & _may_be_similar("x", "y", similarity)
-    of_small = small.alias("x").join(small.alias("y"), near).select(
-        F.col("x.id").alias("a"),
-        F.col("y.id").alias("b"),
-        F.col("x.label").alias("a_label"),
-        F.col("y.label").alias("b_label"),
-    )
+    most = 2 * _edits(n, similarity)
+    m = n
+    while most < n and m - (e := _edits(m, similarity)) <= n:
+        most = max(most, n - m + 2 * e)
+        m += 1
+    return min(n, most + 1)
+
+
+def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with the new label of each label, where joined (id, label) has one."""
+    new = joined.select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return rows.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("n_words", "id"))
-    large = members.join(sizes.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
-    large = settle(large.withColumn("block", F.floor((place - 1) / BLOCK)))
+
+def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """As _pairs_of_small; a large bucket lies in blocks by length, which are compared in arrays.
+
+    Each block meets itself and the blocks of longer texts that its own may be like.
+    """
+    of_small = _pairs_of_small(members.where(F.col("n") <= SMALL), similarity)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("n_words", "node"))
+    large = settle(members.where(F.col("n") > SMALL).withColumn("block", F.floor((place - 1) / BLOCK)))
     blocks = large.groupBy("bucket", "block").agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"))
     meeting = blocks.select("bucket", F.col("block").alias("xb"), F.col("high").alias("x_high")).join(
         blocks.select("bucket", F.col("block").alias("yb"), F.col("low").alias("y_low")), "bucket"
@@ -496,7 +675,7 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
     def side(name: str) -> DataFrame:
         rows = large.withColumnRenamed("block", name).join(meeting, ["bucket", name])
         # New names, as both sides come from the same columns.
-        own = [F.col(c).alias(f"{name}_{c}") for c in ("bucket", "xb", "yb", "id", "label", "n_words", "bag")]
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("bucket", "xb", "yb", "node", "label", "n_words", "bag")]
         return rows.select(*own).groupBy(f"{name}_bucket", f"{name}_xb", f"{name}_yb")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -508,23 +687,13 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
 
 def _met(left: pa.Table, right: pa.Table, similarity: float) -> pa.Table:
     """The pairs of two blocks, or of one with itself, as in _may_be_similar."""
-
     left, right = (side.rename_columns([c[3:] for c in side.column_names]) for side in (left, right))
-
-    def arrays(side: pa.Table) -> tuple[np.ndarray, ...]:
-        ids, labels, sizes = (side[c].to_numpy() for c in ("id", "label", "n_words"))
-        bags = np.concatenate([x.flatten().to_numpy() for x in side["bag"].chunks])
-        return ids, labels, sizes, bags.reshape(len(ids), BINS).astype(np.int16)
-
-    (a, a_label, a_size, a_bag), (b, b_label, b_size, b_bag) = arrays(left), arrays(right)
+    (a, a_label, a_size, a_bag), (b, b_label, b_size, b_bag) = _arrays(left), _arrays(right)
     same = left["xb"][0] == left["yb"][0]
     out: list[tuple] = []
     for i in range(len(a)):
-        apart = np.abs(b_size - a_size[i])
-        limit = 2 * np.floor((1 - similarity) * np.maximum(b_size, a_size[i]) + 1e-9)
-        at = (b_label != a_label[i]) & (2 * apart <= limit)
-        at = np.flatnonzero(at & (b > a[i]) if same else at)
-        at = at[np.abs(b_bag[at] - a_bag[i]).sum(axis=1) + apart[at] <= limit[at]]
+        at = _may_be_similar_to(i, (a_size, a_bag), (b_size, b_bag), similarity)
+        at = at[(b_label[at] != a_label[i]) & ((b[at] > a[i]) if same else True)]
         first = a[i] < b[at]
         out.append(
             (
@@ -544,14 +713,19 @@ def deduplicate(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of docs whose id is the least of its class, and of an id's rows one.
+    """One row of each class of docs: of its first text, which stands for it, that of the least id.
 
-    Rows with a null id, or a null or empty text, all stay. Columns are those of docs.
+    Rows with a null id, or a null or empty text, all stay. Of several texts of one id each is
+    judged by itself. Columns are those of docs.
     """
-    of_class = classes(docs, sketch, id_col, text_col)
-    gone = of_class.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    bare = F.col(id_col).isNull() | F.coalesce(F.length(text_col) == 0, F.lit(True))
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    number = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
-    return left.withColumn("__row", number).where((F.col("__row") == 1) | bare).drop("__row")
+    marked = _keyed_rows(docs, id_col, text_col)
+    bare = F.col("__id").isNull() | F.col("__key").isNull()
+    nodes, labels = _labelled(_keyed(docs, id_col, text_col), sketch)
+    firsts = nodes.join(labels.where("node = label"), "node").select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    whole = marked.where(~bare).join(firsts, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return marked.where(bare).unionByName(whole).select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
+def _keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.when(F.length(text_col) > 0, F.unhex(F.sha2(text_col, 256)))
+    return docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", key)
