@@ -51,6 +51,7 @@ class Sketch:
 
 
 SMALL, BLOCK = 64, 1024  # members of a bucket that is joined with itself, and of a larger one's blocks
+FEW = 1 << 20  # numbers of texts that are broadcast, 8 MB at most
 GROUP = 256  # texts in a block where texts of one label meet others
 RARITY = 1 << 16  # classes of word pairs that are counted to tell rare ones; results don't depend on it
 BINS = 128  # classes of words by which texts are compared before they are aligned; a power of 2
@@ -68,13 +69,13 @@ def order_minhash(words: np.ndarray, sketch: Sketch) -> np.ndarray:
     step = max(1, _CELLS // len(kmers))
     for at in range(0, len(seeds), step):
         own = seeds[at : at + step]
-        hashes = (labelled ^ own[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
-        if taken < len(kmers):
-            places = np.sort(np.argpartition(hashes, taken, axis=1)[:, :taken], axis=1)
-        else:
-            places = np.broadcast_to(np.arange(taken), (len(own), taken))
+        hashes = (labelled ^ own[:, None]) * (own | np.uint64(1))[:, None]
+        rows = np.arange(len(own))
+        places = np.empty((len(own), taken), np.int64)
+        for j in range(taken):
+            places[:, j] = hashes.argmin(axis=1)
+            hashes[rows, places[:, j]] = ~np.uint64(0)
+        places.sort(axis=1)
         value = own.copy()
         for j in range(taken):
             value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + kmers[places[:, j]])
@@ -84,6 +85,9 @@ def order_minhash(words: np.ndarray, sketch: Sketch) -> np.ndarray:
 
 def _occurrence(values: np.ndarray) -> np.ndarray:
     """How many equal values stand before each."""
+    ordered = np.sort(values)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return np.zeros(len(values), np.uint64)
     order = np.argsort(values, kind="stable")
     fresh = np.flatnonzero(np.append(True, np.diff(values[order]) != 0)[: len(values)])
     runs = np.diff(np.append(fresh, len(values)))
@@ -137,32 +141,12 @@ def _choices(n: int, taken: int) -> np.ndarray:
 def within(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """For each (a, b, limit), whether the edit distance of a and b is at most limit."""
     out = np.zeros(len(pairs), dtype=bool)
-    left = []
     for i, (a, b, limit) in enumerate(pairs):
         known = _quickly(*(ends := _without_ends(a, b)), limit)
-        if known is None:
-            left.append((*ends, limit, i))
-        else:
-            out[i] = known
-    # Most similar texts need few edits, so narrow bands come first; a cost within a band's
-    # own limit is the distance.
-    for part in (4, 2, 1):
-        tried, left = sorted(left, key=lambda x: len(x[0])), []
-        while tried:
-            # Those of like length are aligned side by side.
-            n, width = 1, 2 * (tried[-1][2] // part) + 1
-            while n < len(tried) and (n + 1) * width <= _SIDE_BY_SIDE:
-                n += 1
-            group, tried = tried[-n:], tried[:-n]
-            good = _band([(a, b, limit // part) for a, b, limit, _ in group])
-            out[[g[3] for g in group]] = good
-            left += [g for g, x in zip(group, good, strict=True) if not x]
+        out[i] = _band(*ends, limit) if known is None else known
     return out
 
 
-_SIDE_BY_SIDE = 1 << 14  # cells of the bands that are aligned together
-
-
 def _without_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """a and b, the longer first, without what they have in common at both ends."""
     if len(a) < len(b):
@@ -201,44 +185,40 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(shared, counts).sum())
 
 
-def _band(group: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Banded alignment of pairs side by side, each a no shorter than its b.
+def _band(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
+    """Banded alignment of a with the no longer b, whose band is a number of 2 limit + 2 bits.
 
-    costs[g, d]: of aligning the first i words of a with the first i + d - band of b. Places
-    after the end of b cost nothing that is read later; those before its start stay far.
+    A bit stands for a place of a; what a column of costs adds from place to place, up or down
+    by one, is held as two such numbers, so a word of b takes a few operations whatever the
+    band's width. The cost follows the band's lower edge until a ends, then the end of a.
     """
-    band = max(limit for _, _, limit in group)
-    lengths = [len(a) for a, _, _ in group]
-    n, width = max(lengths), 2 * band + 1
-    first = np.full((len(group), n), -1, dtype=np.int64)
-    second = np.full((len(group), n + width), -2, dtype=np.int64)
-    for g, (a, b, _) in enumerate(group):
-        first[g, : len(a)] = a
-        second[g, band : band + len(b)] = b
-    far = np.int32(1 << 28)
-    steps = np.arange(width, dtype=np.int32)
-    costs = np.where(steps < band, far, steps - band).astype(np.int32)
-    costs = np.repeat(costs[None], len(group), axis=0)
-    last = np.zeros(len(group), dtype=np.int64)
-    ending: dict[int, list[int]] = {}
-    for g, m in enumerate(lengths):
-        ending.setdefault(m, []).append(g)
-    for i in range(n):
-        new = costs + (second[:, i : i + width] != first[:, i : i + 1])
-        np.minimum(new[:, :-1], costs[:, 1:] + 1, out=new[:, :-1])
-        if i + 1 < band:
-            new[:, : band - i - 1] = far
-        new -= steps
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += steps
-        if i + 1 < band:
-            new[:, : band - i - 1] = far
-        costs = new
-        for g in ending.get(i + 1, ()):
-            a, b, _ = group[g]
-            at = band + len(b) - len(a)  # negative if b's end lies outside the band
-            last[g] = costs[g, at] if at >= 0 else far
-    return last <= np.array([limit for _, _, limit in group])
+    m, n, width = len(a), len(b), 2 * limit + 2
+    whole = (1 << width) - 1
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | (1 << i)
+    rises, falls = whole ^ ((1 << (width - limit - 1)) - 1), 0
+    cost, most = limit, 2 * limit + n - m  # as many steps as follow the edge's end may lower it
+    edge, start = 1 << (width - 1), limit + 1 - width
+    end = edge >> 1
+    for i, word in enumerate(b.tolist()):
+        own = places.get(word, 0)
+        own = (own >> start if start >= 0 else own << -start) & whole
+        start += 1
+        level = ((((own & rises) + rises) & whole) ^ rises) | own | falls
+        right_rises = falls | (whole ^ (level | rises))
+        right_falls = level & rises
+        if i < m - limit:
+            cost += not level & edge
+            if cost > most:
+                return False
+        else:
+            cost += bool(right_rises & end) - bool(right_falls & end)
+            end >>= 1
+        moved = level >> 1
+        rises = right_falls | (whole ^ (moved | right_rises))
+        falls = moved & right_rises
+    return cost <= limit
 
 
 def _edits(longer: int, similarity: float) -> int:
@@ -275,6 +255,7 @@ def _sketched(texts: DataFrame, sketch: Sketch) -> DataFrame:
                 rows = [candidate_keys(words[e - n : e], sketch) for n, e in zip(counts, ends, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 flat = np.concatenate(rows).view(np.int64)
+                words_at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"].slice(first, len(counts)),
@@ -282,71 +263,43 @@ def _sketched(texts: DataFrame, sketch: Sketch) -> DataFrame:
                         pa.array(counts, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         _bags(words, counts),
+                        pa.ListArray.from_arrays(pa.array(words_at), pa.array((words >> np.uint64(33)).astype(np.int32))),
                     ],
-                    names=["id", "key", "n_words", "sketch", "bag"],
+                    names=["id", "key", *_OF_TEXT],
                 )
 
-    return texts.mapInArrow(make, "id long, key binary, n_words long, sketch array<long>, bag array<tinyint>")
+    return texts.mapInArrow(
+        make, "id long, key binary, n_words long, sketch array<long>, bag array<tinyint>, words array<int>"
+    )
+
+
+_OF_TEXT = ("n_words", "sketch", "bag", "words")
 
 
-def _nodes(texts: DataFrame, sketch: Sketch) -> DataFrame:
-    """node, id, key, n_words, sketch and bag of each text, which its least id stands for.
+def _nodes(texts: DataFrame, sketch: Sketch) -> tuple[DataFrame, list[DataFrame]]:
+    """node, id, key, n_words, sketch, bag and words of each text, which its least id stands for.
 
     A text's node is its id. Where several texts have one least id, that of the least key goes
-    by the id and each other by a number of 62 bits made from its key.
+    by the id and each other by a number of 62 bits made from its key. The tables that hold
+    them come second.
     """
-    firsts = settle(
-        _sketched(texts, sketch)
-        .groupBy("key")
-        .agg(
-            F.min("id").alias("id"),
-            F.first("n_words").alias("n_words"),
-            F.first("sketch").alias("sketch"),
-            F.first("bag").alias("bag"),
-        )
-    )
+    of_text = [F.first(c).alias(c) for c in _OF_TEXT]
+    firsts = settle(_sketched(texts, sketch).groupBy("key").agg(F.min("id").alias("id"), *of_text))
     of_id = firsts.groupBy("id").agg(F.min("key").alias("least"), F.count("*").alias("n"))
-    shared = of_id.where("n > 1").select("id", "least")
+    shared = settle(of_id.where("n > 1").select("id", "least"))
     own = F.col("least").isNull() | (F.col("least") == F.col("key"))
     number = F.xxhash64("key").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 61)
     node = F.when(own, F.col("id")).otherwise(number).alias("node")
-    nodes = settle(firsts.join(shared, "id", "left").select(node, "id", "key", "n_words", "sketch", "bag"))
-    discard(firsts)
-    return nodes
-
+    return firsts.join(shared, "id", "left").select(node, "id", "key", *_OF_TEXT), [firsts, shared]
 
-def _buckets(similarity: float) -> Column:
-    """Two buckets for each component of a sketch: with the text's class of length, and the next.
-
-    Classes are a little wider than the lengths that similar texts may differ by, so texts
-    that can be linked lie in one class or in neighbouring ones, and share a bucket.
-    """
-    width = -math.log(max(similarity - 0.01, 0.01))
-    level = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1))) / width)
-    return F.flatten(
-        F.transform("sketch", lambda v: F.array(F.xxhash64(v, level), F.xxhash64(v, level + 1)))
-    )
-
-
-def _worded(texts: DataFrame) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, counts, words in word_hashes(batch["text"]):
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = pa.array((words >> np.uint64(33)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["node"].slice(first, len(counts)),
-                        pa.ListArray.from_arrays(pa.array(offsets), flat),
-                    ],
-                    names=["node", "words"],
-                )
 
-    return texts.mapInArrow(make, "node long, words array<int>")
+def _if_few(nodes: DataFrame) -> DataFrame:
+    """A settled table of nodes, marked to be broadcast if it has up to FEW rows; else it is shuffled."""
+    return F.broadcast(nodes) if nodes.count() <= FEW else nodes
 
 
 def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose texts are similar."""
+    """The pairs a, b whose texts are similar. Only words of the texts in them are moved."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,8 +316,10 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
                 kept = first + np.flatnonzero(within(pairs))
                 yield batch.select(["a", "b"]).take(pa.array(kept))
 
-    of_b = words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
-    of_a = words.select(F.col("node").alias("a"), F.col("words").alias("a_words"))
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = settle(words.join(_if_few(needed), "node", "left_semi"))
+    of_b = own.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
+    of_a = own.select(F.col("node").alias("a"), F.col("words").alias("a_words"))
     full = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "a_words", "b_words")
     return full.mapInArrow(check, "a long, b long").distinct()
 
@@ -422,13 +377,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _labelled(keyed: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
     """The nodes (node, id, key), and the label of each node: the least node of its class."""
     texts = keyed.where("key IS NOT NULL AND id IS NOT NULL")
-    full = _nodes(texts, sketch)
-    held = settle(_held(full, sketch))
+    full, tables = _nodes(texts, sketch)
+    held = settle(_held(full))
     met = settle(held.select("a", F.col("node").alias("b")).distinct())
-    bags = full.select("node", "n_words", "bag")
-    wanted = full.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    of_nodes = texts.join(wanted.select("id", "key", "node"), ["id", "key"]).dropDuplicates(["id", "key"])
-    words = settle(_worded(of_nodes.select("node", "text")))
+    bags, words = full.select("node", "n_words", "bag"), full.select("node", "words")
     labels = settle(full.select("node", F.col("node").alias("label")))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -451,22 +403,23 @@ def _labelled(keyed: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
     some = _pairs_of_small(still.where(F.col("n") <= SMALL).join(bags, "node"), sketch.similarity)
     labels = joined(linked(some.unionByName(_near(_pivot_pairs(large), bags, sketch.similarity)).distinct()))
     left = _still_open(large.select("bucket", "n", "node"), labels).select("node", "label").distinct()
-    own = settle(left.join(words, "node").join(bags, "node"))
+    left = settle(left)
+    own = settle(full.select("node", "n_words", "bag", "words").join(_if_few(left), "node"))
     members = settle(_rare_members(own, sketch.similarity))
     of_single = linked(_all_pairs(members.where("alone").join(bags, "node"), sketch.similarity))
     of_many = settle(_met_groups(members, own, sketch.similarity))
     labels = joined(settle(of_single.unionByName(of_many)))
     nodes = settle(full.select("node", "id", "key"))
-    discard(full, held, met, words, still, own, members, of_single, of_many)
+    discard(*tables, held, met, still, left, own, members, of_single, of_many)
     return nodes, labels
 
 
-def _held(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+def _held(nodes: DataFrame) -> DataFrame:
     """bucket, n, a and node: the texts of buckets of n texts, without the bucket's least node a.
 
     Buckets are counted before they are joined, so one of many texts costs a row for each.
     """
-    spread = nodes.select("node", F.explode(_buckets(sketch.similarity)).alias("bucket"))
+    spread = nodes.select("node", F.explode(F.array_distinct("sketch")).alias("bucket"))
     several = spread.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     return spread.join(several, "bucket").where("node <> a")
 
@@ -564,41 +517,48 @@ def _met_groups(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     x, y = members.where("NOT alone").alias("x"), members.alias("y")
     once = F.expr("x.bucket = y.bucket AND x.label <> y.label AND (y.alone OR x.label < y.label)")
     meeting = settle(x.join(y, once).select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).distinct())
-    wide = texts.select("node", "label", "words", "n_words", "bag")
-    of_a = meeting.select("a").distinct().join(wide.withColumnRenamed("label", "a"), "a")
-    of_b = meeting.join(wide.withColumnRenamed("label", "b"), "b")
-    a_parts = of_a.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("a_part_parts"))
-    b_parts = of_b.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("b_part_parts"))
+    narrow = texts.select("node", "label", "n_words", "bag")
+    of_b = meeting.join(narrow.withColumnRenamed("label", "b"), "b")
+    # First by lengths and bags alone, then those texts that may be similar to any, with their words.
+    near = settle(_in_blocks(meeting, of_b, narrow, similarity, aligned=False))
+    of_b = near.select("a", "node").join(texts.withColumnRenamed("label", "b"), "node")
+    return _in_blocks(near, of_b, texts, similarity, aligned=True).select("a", "b").distinct()
+
+
+def _in_blocks(meeting: DataFrame, of_b: DataFrame, texts: DataFrame, similarity: float, aligned: bool) -> DataFrame:
+    """a, b and node of texts of_b (a, b, node, ...) that may be, or are, similar to one of label a."""
+    of_a = meeting.select("a").distinct().join(texts.withColumnRenamed("label", "a"), "a")
+    a_parts = of_a.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("a_part_of"))
+    b_parts = of_b.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("b_part_of"))
     sizes = settle(a_parts.join(b_parts, "a"))
+    key, rest = ("a", "a_part", "b_part"), ("label", "node", "n_words", "bag", *(["words"] if aligned else []))
 
     def side(rows: DataFrame, label: str, own: str, other: str, name: str) -> DataFrame:
-        placed = rows.join(sizes, "a").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}_parts")))
-        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)))
+        placed = rows.join(sizes, "a").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}_of")))
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_of") - 1)))
         placed = placed.withColumn("label", F.col(label))
         # New names, as both sides come from the same columns.
-        key = ("a", "a_part", "b_part")
-        rest = ("label", "node", "words", "n_words", "bag")
         return placed.select(*[F.col(c).alias(f"{name}_{c}") for c in key + rest]).groupBy(*[f"{name}_{c}" for c in key])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: set[tuple[int, int]] = set()
         left, right = (side.rename_columns([c[2:] for c in side.column_names]) for side in (left, right))
-        (_, a_label, a_size, a_bag), (_, b_label, b_size, b_bag) = _arrays(left), _arrays(right)
-        a_words, b_words = (list(_lists(x["words"])) for x in (left, right))
+        (_, a_label, a_size, a_bag), (b, b_label, b_size, b_bag) = _arrays(left), _arrays(right)
+        a_words, b_words = (list(_lists(x["words"])) if aligned else [] for x in (left, right))
+        found: list[tuple] = []
         for j in range(len(b_label) if len(a_label) else 0):
-            if (int(a_label[0]), int(b_label[j])) in found:
-                continue
             at = _may_be_similar_to(j, (b_size, b_bag), (a_size, a_bag), similarity)
-            at = at[np.argsort(np.abs(a_bag[at] - b_bag[j]).sum(axis=1), kind="stable")]
-            for start in range(0, len(at), 64):
-                some = [(a_words[i], b_words[j], _edits(max(a_size[i], b_size[j]), similarity)) for i in at[start : start + 64]]
-                if within(some).any():
-                    found.add((int(a_label[0]), int(b_label[j])))
-                    break
-        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
+            if aligned:
+                at = at[np.argsort(np.abs(a_bag[at] - b_bag[j]).sum(axis=1), kind="stable")]
+                limits = (_edits(max(a_size[i], b_size[j]), similarity) for i in at)
+                like = any(within([(a_words[i], b_words[j], e)])[0] for i, e in zip(at, limits, strict=True))
+            else:
+                like = len(at) > 0
+            if like:
+                found.append((a_label[0], b_label[j], b[j]))
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b", "node"))})
 
     x, y = side(of_a, "a", "a_part", "b_part", "x"), side(of_b, "b", "b_part", "a_part", "y")
-    return x.cogroup(y).applyInArrow(meet, "a long, b long").distinct()
+    return x.cogroup(y).applyInArrow(meet, "a long, b long, node long").distinct()
 
 
 def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
