@@ -53,7 +53,7 @@ class Sketch:
 SMALL, BLOCK = 64, 1024  # members of a bucket that is joined with itself, and of a larger one's blocks
 FEW = 1 << 20  # numbers of texts that are broadcast, 8 MB at most
 GROUP = 256  # texts in a block where texts of one label meet others
-RARITY = 1 << 16  # classes of word pairs that are counted to tell rare ones; results don't depend on it
+RARITY = 1 << 18  # classes of word pairs that are counted to tell rare ones; results don't depend on it
 BINS = 128  # classes of words by which texts are compared before they are aligned; a power of 2
 _CELLS = 1 << 20  # hashes of a text that are held at a time
 
@@ -398,12 +398,11 @@ def _labelled(keyed: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
 
     first = _near(met, bags, sketch.similarity)
     labels = joined(linked(first.select("a", "b", F.col("a").alias("a_label"), F.col("b").alias("b_label"))))
-    still = settle(_still_open(held.where("n > 2").select("bucket", "n", "node"), labels))
+    still = settle(_still_open(_by_length(held.where("n > 2"), bags, sketch.similarity), labels))
     large = still.where(F.col("n") > SMALL)
     some = _pairs_of_small(still.where(F.col("n") <= SMALL).join(bags, "node"), sketch.similarity)
     labels = joined(linked(some.unionByName(_near(_pivot_pairs(large), bags, sketch.similarity)).distinct()))
-    left = _still_open(large.select("bucket", "n", "node"), labels).select("node", "label").distinct()
-    left = settle(left)
+    left = settle(_still_open(large.select("bucket", "node"), labels).select("node", "label").distinct())
     own = settle(full.select("node", "n_words", "bag", "words").join(_if_few(left), "node"))
     members = settle(_rare_members(own, sketch.similarity))
     of_single = linked(_all_pairs(members.where("alone").join(bags, "node"), sketch.similarity))
@@ -424,14 +423,28 @@ def _held(nodes: DataFrame) -> DataFrame:
     return spread.join(several, "bucket").where("node <> a")
 
 
+def _by_length(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """bucket and node of rows, each bucket split in two ways: by classes of length, and by them moved by one.
+
+    Classes are a little wider than the lengths that similar texts may differ by, so texts
+    that can be linked lie in one class or in neighbouring ones, and share a bucket.
+    """
+    width = -math.log(max(similarity - 0.01, 0.01))
+    level = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1))) / width)
+    both = F.array(*[F.xxhash64("bucket", level + i) for i in (0, 1)])
+    return rows.join(bags.select("node", "n_words"), "node").select(F.explode(both).alias("bucket"), "node")
+
+
 def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (bucket, n, node) with the labels of their nodes, of buckets that hold several.
+    """bucket, n, node and label of rows (bucket, node) in buckets of n rows and several labels.
 
-    Their least node isn't among them: it has met all others.
+    The least node of a whole bucket isn't among them: it has met all others.
     """
     labelled = rows.join(labels, "node")
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return labelled.join(several.where("low <> high").select("bucket"), "bucket", "left_semi")
+    several = labelled.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
+    )
+    return labelled.join(several.where("low <> high").select("bucket", "n"), "bucket")
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
@@ -480,21 +493,22 @@ def _rare_members(texts: DataFrame, similarity: float) -> DataFrame:
         total = np.zeros(RARITY, np.int64)
         for batch in batches:
             for pairs in _pairs_of(batch["words"]):
-                total += np.bincount(pairs >> np.uint64(48), minlength=RARITY)
+                total += np.bincount(_kinds(pairs), minlength=RARITY)
         kinds = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(total[kinds])], ["kind", "n"])
 
     counts = np.zeros(RARITY, np.int64)
-    for r in texts.mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():
-        counts[r.kind] = r.n
-    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.uint16)  # RARITY rows at most
+    # RARITY rows at most.
+    found = texts.mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["kind"].to_numpy()] = found["n"].to_numpy()
+    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.uint32)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for pairs in _pairs_of(batch["words"]):
                 n = _prefix(len(pairs), similarity)
-                order = (rank[pairs >> np.uint64(48)].astype(np.uint64) << np.uint64(48)) | (pairs & np.uint64((1 << 48) - 1))
+                order = (rank[_kinds(pairs)].astype(np.uint64) << np.uint64(44)) | (pairs & np.uint64((1 << 44) - 1))
                 rows.append(pairs[np.argpartition(order, n - 1)[:n]] if n < len(pairs) else pairs)
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = pa.array(np.concatenate(rows).view(np.int64) if rows else [], pa.int64())
@@ -584,6 +598,10 @@ def _may_be_similar_to(i: int, own: tuple[np.ndarray, ...], others: tuple[np.nda
     return at[np.abs(bags[at] - bag[i]).sum(axis=1) + apart[at] <= limit[at]]
 
 
+def _kinds(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(65 - RARITY.bit_length())).astype(np.int64)
+
+
 def _pairs_of(words: pa.Array) -> Iterator[np.ndarray]:
     """For each text, a hash of each of its word pairs and the number of its occurrence.
 
