@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
+import os
 import struct
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +45,39 @@ def patch(spark: SparkSession, older: str, patch: str, output: str) -> None:
 
 
 def cycle(spark: SparkSession, older: str, newer: str, options: DiffOptions) -> None:
-    began = time.perf_counter()
-    report = deltas.cycle(_pair(spark, older, newer), options)
-    r = report.select(
-        "ok", "ratio", format_size(F.col("patch_size")).alias("patch"), format_size(F.col("new_size")).alias("new")
-    ).first()
-    if not r["ok"]:
-        raise ValueError("the patch doesn't give the new version")
-    of = "-" if r["ratio"] is None else f"{100 * r['ratio']:.3f}%"
-    print(f"zstd  patch {r['patch']}  {of} of {r['new']}  cycle {time.perf_counter() - began:.2f}s")
+    """Makes and applies a patch by files, and reports its size, ratio, times and speeds. [V2-V4, V6, IO9]"""
+    with tempfile.TemporaryDirectory() as folder:
+        made, again = (os.path.join(folder, x) for x in ("patch", "new"))
+        began = time.perf_counter()
+        diff(spark, older, newer, made, options)
+        diffed = time.perf_counter()
+        patch(spark, older, made, again)
+        patched = time.perf_counter()
+        new_size, patch_size = os.path.getsize(newer), os.path.getsize(made)
+        if new_size != os.path.getsize(again):
+            raise ValueError("the patch gives a new version of another size")
+        if _digest(newer) != _digest(again):
+            raise ValueError("the patch doesn't give the new version")
+    sizes = spark.range(1).select(*[format_size(F.lit(n)).alias(c) for c, n in (("patch", patch_size), ("new", new_size))]).first()
+    of = "-" if not new_size else f"{100 * patch_size / new_size:.3f}%"
+    took, back = diffed - began, patched - diffed
+    speed = os.path.getsize(older) / took / (1 << 20)  # by the old version's size, which is indexed
+    print(
+        f"{'zstd':12} {'patch ' + sizes['patch']:20} {of + ' of ' + sizes['new']:27} "
+        f"{f'dtime {took:.3f}s':20} {f'ptime {back:.3f}s':20} {f'{speed:.2f} MiB/s':20}".rstrip()
+    )
+
+
+def _digest(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").digest()
+
+
+def _at_least_one(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError("must be at least 1")
+    return n
 
 
 def main(args: list[str]) -> int:
@@ -63,7 +90,7 @@ def main(args: list[str]) -> int:
         if name != "patch":
             command.add_argument("--block-size", type=int, default=32)
             command.add_argument("--scan-chunk-mb", type=int, default=1)
-            command.add_argument("--threads", type=int)
+            command.add_argument("--threads", type=_at_least_one)
             command.add_argument("--max", action="store_true")
             command.add_argument("--ram", action="store_true", help="accepted; Spark chooses where the index lies")
     a = parser.parse_args(args)

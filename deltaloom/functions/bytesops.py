@@ -101,14 +101,19 @@ def divided_up(a: Column, b: Column | int) -> Column:
 def next_power_of_two(x: Column) -> Column:
     """The least power of two that isn't below x; 1 for 0. [M7]"""
     bits = F.length(F.bin(F.greatest(x, F.lit(1)) - 1))
-    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.expr("1L").cast("long") * F.pow(F.lit(2), bits)).cast("long")
+    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits))
+
+
+def _scaled(n: Column, unit: int, digits: int) -> Column:
+    """Digits are rounded half to even, as of exact values; Java's formats round half up."""
+    return F.format_string(f"%.{digits}f", F.bround(n / float(unit), digits))
 
 
 def format_size(n: Column) -> Column:
     """A size for people: MiB with one digit, KiB with none, bytes. [M8]"""
     return (
-        F.when(n >= 1 << 20, F.format_string("%.1f MiB", n / float(1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.0f KiB", n / 1024.0))
+        F.when(n >= 1 << 20, F.concat(_scaled(n, 1 << 20, 1), F.lit(" MiB")))
+        .when(n >= 1 << 10, F.concat(_scaled(n, 1 << 10, 0), F.lit(" KiB")))
         .otherwise(F.format_string("%d B", n))
     )
 
@@ -116,7 +121,7 @@ def format_size(n: Column) -> Column:
 def format_size_fine(n: Column) -> Column:
     """As format_size with one more digit, and bytes up to the limits themselves. [M9]"""
     return (
-        F.when(n > 1 << 20, F.format_string("%.2f MiB", n / float(1 << 20)))
-        .when(n > 1 << 10, F.format_string("%.1f KiB", n / 1024.0))
+        F.when(n > 1 << 20, F.concat(_scaled(n, 1 << 20, 2), F.lit(" MiB")))
+        .when(n > 1 << 10, F.concat(_scaled(n, 1 << 10, 1), F.lit(" KiB")))
         .otherwise(F.format_string("%d B", n))
     )

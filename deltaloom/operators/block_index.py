@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytesops import common_prefix, divided_up, next_power_of_two, slice_bytes
+from ..functions.bytesops import as_array, common_prefix, divided_up, next_power_of_two, slice_bytes
 
 
 def _offsets(length: Column, block: int, step: int) -> Column:
@@ -53,45 +57,106 @@ def index_geometry(lengths: DataFrame, block: int) -> DataFrame:
     )
 
 
-def probes(chunks: DataFrame, block: int) -> DataFrame:
-    """pair_id, chunk_idx, pos and block at every offset of each chunk. [X6]"""
-    each = chunks.select(
-        "pair_id",
-        "chunk_idx",
-        "bytes",
-        F.explode(_offsets(F.length("bytes"), block, 1)).alias("__at"),
-    )
-    return each.select(
-        "pair_id",
-        "chunk_idx",
-        F.col("__at").cast("long").alias("pos"),
-        slice_bytes(F.col("bytes"), F.col("__at"), block).alias("block"),
+_of_byte = np.random.default_rng(1).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PROBED = 1 << 20  # offsets that are probed at a time
+_MARKS = 1 << 22  # bits of the filter in front of the index, at most
+
+
+def block_hashes(data: np.ndarray, block: int) -> np.ndarray:
+    """A hash of the block that begins at each offset, put together from those of half its size."""
+    if len(data) < block:
+        return np.zeros(0, np.uint64)
+    part, size, power = _of_byte[data], 1, int(_BASE)
+    out, done = None, 0
+    while True:
+        if block & size:
+            out = part if out is None else out[: len(part) - done] * np.uint64(power) + part[done:]
+            done += size
+        if 2 * size > block:
+            return out[: len(data) - block + 1]
+        part, size, power = part[:-size] * np.uint64(power) + part[size:], 2 * size, power * power % 2**64
+
+
+class Index:
+    """The aligned blocks of an old version by hash, each at its least offset. [X3]"""
+
+    def __init__(self, old: np.ndarray, block: int) -> None:
+        self.old, self.block = old, block
+        hashes = np.zeros(len(old) // block, np.uint64)
+        blocks = old[: len(hashes) * block].reshape(-1, block)
+        for j in range(block):
+            hashes = hashes * _BASE + _of_byte[blocks[:, j]]
+        self.hashes, first = np.unique(hashes, return_index=True)
+        self.offsets = first.astype(np.int64) * block
+        self.marks = np.zeros(min(_MARKS, 1 << max(6, (8 * len(hashes)).bit_length())), dtype=bool)
+        self.marks[self._mark(self.hashes)] = True
+
+    def _mark(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) & np.uint64(len(self.marks) - 1)).astype(np.int64)
+
+    def probe(self, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets in new whose block is indexed, rising, and the offsets of that block in old. [X5, X6]
+
+        Blocks are compared byte by byte. Two blocks of old that share a hash, of which one
+        isn't found, would cost a larger patch.
+        """
+        at, of, block = [], [], self.block
+        for start in range(0, max(0, len(new) - block + 1) if len(self.hashes) else 0, _PROBED):
+            hashes = block_hashes(new[start : start + _PROBED + block - 1], block)
+            near = np.flatnonzero(self.marks[self._mark(hashes)])
+            place = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+            same = self.hashes[place] == hashes[near]
+            near, old = near[same] + start, self.offsets[place[same]]
+            for j in range(block):
+                same = self.old[old + j] == new[near + j]
+                if not same.all():
+                    near, old = near[same], old[same]
+            at.append(near)
+            of.append(old)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *at]), np.concatenate([none, *of])
+
+
+def _probed(spans: DataFrame, block: int, missing: bool) -> DataFrame:
+    kinds = {"pair_id": pa.string(), "chunk_idx": pa.int32(), "pos": pa.int64()} | ({} if missing else {"old_off": pa.int64()})
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair, first, size, old, new in zip(*(batch[c] for c in _SPAN), strict=True):
+                index, new, size = Index(as_array(old.as_py()), block), as_array(new.as_py()), size.as_py()
+                found = []
+                for i, start in enumerate(range(0, len(new), size)):
+                    own = new[start : start + size]
+                    at, of = index.probe(own)
+                    if missing:
+                        at = np.setdiff1d(np.arange(max(0, len(own) - block + 1)), at, assume_unique=True)
+                    found.append((np.full(len(at), first.as_py() + i, np.int32), at, of))
+                if found:
+                    columns = [np.concatenate(x) for x in zip(*found, strict=True)][: len(kinds) - 1]
+                    names = pa.array([pair.as_py()] * len(columns[0]), pa.string())
+                    yield pa.RecordBatch.from_arrays([names, *map(pa.array, columns)], list(kinds))
+
+    return spans.select(*_SPAN).mapInArrow(
+        probe, "pair_id string, chunk_idx int, pos long" + ("" if missing else ", old_off long")
     )
 
 
-def _key(pair: str, block: str) -> Column:
-    return F.xxhash64(pair, block)
+_SPAN = ("pair_id", "chunk_idx", "size", "old", "bytes")
 
 
-def hits(chunks: DataFrame, index: DataFrame, block: int) -> DataFrame:
-    """pair_id, chunk_idx, pos and old_off of each probe that the index holds. [X5]
+def hits(spans: DataFrame, block: int) -> DataFrame:
+    """pair_id, chunk_idx, pos and old_off of each probe that the index of old holds. [X5]
 
-    At most one row for each probe, as the index has one row for each block. Both sides meet
-    by a 64-bit hash of pair and block, so that blocks stay out of the shuffle of probes and
-    nothing is sorted; the index, with a row for each block of old, is the hashed side. What
-    is done with hits compares bytes: two blocks of one hash would cost a larger patch.
+    spans: chunks that lie together, with their old version (``chunking.spans``). Every offset
+    of a chunk is probed where the chunk is, and only hits become rows.
     """
-    keyed = index.select(_key("pair_id", "block").alias("key"), F.col("pair_id").alias("of_pair"), "old_off")
-    probed = probes(chunks, block).select(_key("pair_id", "block").alias("key"), "pair_id", "chunk_idx", "pos")
-    found = probed.join(keyed.hint("shuffle_hash"), "key").where("pair_id = of_pair")
-    return found.select("pair_id", "chunk_idx", "pos", "old_off")
+    return _probed(spans, block, missing=False)
 
 
-def misses(chunks: DataFrame, index: DataFrame, block: int) -> DataFrame:
+def misses(spans: DataFrame, block: int) -> DataFrame:
     """The probes that the index doesn't hold."""
-    return probes(chunks, block).join(index, ["pair_id", "block"], "left_anti").select(
-        "pair_id", "chunk_idx", "pos"
-    )
+    return _probed(spans, block, missing=True)
 
 
 def prefix_match(needles: DataFrame, index: DataFrame, block: int) -> DataFrame:

@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import batches
 from ..functions.bytesops import as_array
 from ..schema import RECORD, PatchDecodeError
 
@@ -82,7 +83,7 @@ def compress_chunks(chunks: DataFrame, codes: DataFrame, level: int) -> DataFram
 
     @F.arrow_udf("struct<raw_len:long,data:binary>")
     def pack(codes: pa.Array) -> pa.Array:
-        packer = zstandard.ZstdCompressor(level=level)
+        packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
         raw = [b"".join(c or []) for c in codes.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([len(r) for r in raw], pa.int64()), pa.array([packer.compress(r) for r in raw], pa.binary())],
@@ -102,9 +103,9 @@ def compress_chunks(chunks: DataFrame, codes: DataFrame, level: int) -> DataFram
 
 
 def decompress(data: bytes, raw_len: int) -> bytes:
-    """[C7]"""
+    """The bytes of one whole frame; damage and what follows the frame are errors. [C7]"""
     try:
-        out = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, raw_len))
+        out = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, raw_len), allow_extra_data=False)
     except zstandard.ZstdError as e:
         raise PatchDecodeError(f"invalid data: {e}") from e
     if len(out) != raw_len:
@@ -142,31 +143,43 @@ def apply_stream(stream: bytes, old: bytes, old_start: int, new_len: int) -> byt
     return new
 
 
+TOGETHER = 1 << 26  # bytes of new whose chunks share one copy of old
+
+
 def apply_chunks(records: DataFrame, olds: DataFrame) -> DataFrame:
-    """pair_id, chunk_idx, new_start and bytes, rebuilt from records and old. [A1, A7]
+    """pair_id, chunk_idx, new_start, data_len and bytes, rebuilt from records and old. [A1, A7]
 
-    olds: pair_id, old. Each chunk needs its record and old only, so chunks are independent.
+    olds: pair_id, old. Each chunk needs its record and old only, so chunks are independent;
+    those that lie together in new share a copy of old.
     """
 
-    @F.arrow_udf("binary")
-    def rebuild(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for columns in batches:
-            rows = zip(*(c.to_pylist() for c in columns), strict=True)
-            yield pa.array(
-                [apply_stream(decompress(d, raw), old, start, n) for old, start, n, raw, d in rows], pa.binary()
-            )
-
-    joined = records.join(olds.select(F.col("pair_id").cast("string").alias("pair_id"), "old"), "pair_id")
-    return joined.select(
-        "pair_id",
-        "chunk_idx",
-        "new_start",
-        rebuild("old", "old_start", "new_len", "raw_len", "data").alias("bytes"),
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in parts:
+            for pair, old, own in zip(*(part[c] for c in ("pair_id", "old", "records")), strict=True):
+                pair, base = pair.as_py(), old.as_py()
+                for r in own.as_py():
+                    new = apply_stream(decompress(r["data"], r["raw_len"]), base, r["old_start"], r["new_len"])
+                    yield pair, r["chunk_idx"], r["new_start"], len(r["data"]), new
+
+    def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(rows(parts), _REBUILT)
+
+    fields = ("chunk_idx", "new_start", "old_start", "new_len", "raw_len", "data")
+    part = F.floor(F.col("new_start") / TOGETHER)
+    parts = records.groupBy("pair_id", part.alias("part")).agg(F.collect_list(F.struct(*fields)).alias("records"))
+    joined = parts.join(olds.select(F.col("pair_id").cast("string").alias("pair_id"), "old"), "pair_id")
+    return joined.select("pair_id", "old", "records").mapInArrow(
+        rebuild, "pair_id string, chunk_idx int, new_start long, data_len long, bytes binary"
     )
 
 
-def joined_chunks(chunks: DataFrame, column: str = "new") -> DataFrame:
-    """pair_id and the bytes of its chunks in order. [A7, IO8]
+_REBUILT = pa.schema(
+    [("pair_id", pa.string()), ("chunk_idx", pa.int32()), ("new_start", pa.int64()), ("data_len", pa.int64()), ("bytes", pa.binary())]
+)
+
+
+def joined_chunks(chunks: DataFrame, column: str = "new", *more: Column) -> DataFrame:
+    """pair_id, the bytes of its chunks in order, and more aggregates of them. [A7, IO8]
 
     A version is one value here; larger ones are kept as rows of chunks by new_start.
     """
@@ -176,9 +189,9 @@ def joined_chunks(chunks: DataFrame, column: str = "new") -> DataFrame:
         return pa.array([b"".join(p) for p in parts.to_pylist()], pa.binary())
 
     ordered = chunks.groupBy("pair_id").agg(
-        F.array_sort(F.collect_list(F.struct("new_start", "chunk_idx", "bytes"))).alias("parts")
+        F.array_sort(F.collect_list(F.struct("new_start", "chunk_idx", "bytes"))).alias("parts"), *more
     )
-    return ordered.select("pair_id", join(F.col("parts.bytes")).alias(column))
+    return ordered.withColumn(column, join(F.col("parts.bytes"))).drop("parts")
 
 
 def record_bytes(old_start: Column, new_start: Column, new_len: Column, raw_len: Column, data: Column) -> Column:

@@ -14,7 +14,7 @@ from .codec import record_bytes
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """pair_id and patch, from patch records. [IO4]"""
+    """pair_id and patch, from patch records. Two records of one chunk fail the query. [IO4]"""
 
     @F.arrow_udf("binary")
     def patch(sizes: pa.Array, parts: pa.Array) -> pa.Array:
@@ -32,7 +32,10 @@ def assemble(records: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("chunk_idx", "record"))).alias("records"),
         )
     )
-    return whole.select("pair_id", patch("size", F.col("records.record")).alias("patch"))
+    once = F.size(F.array_distinct("records.chunk_idx")) == F.size("records")
+    twice = F.raise_error(F.concat(F.lit("repeated pair_id: "), F.col("pair_id")))
+    checked = F.when(once, F.col("records.record")).otherwise(twice.cast("array<binary>"))
+    return whole.select("pair_id", patch("size", checked).alias("patch"))
 
 
 def parse_patch(patch: bytes) -> tuple[int, list[tuple]]:

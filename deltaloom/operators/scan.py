@@ -1,7 +1,8 @@
 """The exact scan: chunks and their index hits to matches. [F2-F5, D6]
 
-Spark finds the hits (``block_index.hits``); what is left is the ordered choice among them,
-a fold over the hits of one chunk, with state that starts anew in each chunk. Chunks are
+Spark deals out the chunks with their old versions; in a task their offsets are probed
+(``block_index.Index``), and what is left is the ordered choice among the hits, a fold over
+the hits of one chunk, with state that starts anew in each chunk. Chunks are
 scanned apart from each other. Between hits nothing can end a segment, so the fold goes from
 hit to hit and counts equal bytes of whole stretches with NumPy.
 """
@@ -13,9 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.batches import batches
 from ..functions.bytesops import as_array, prefix_of
+from .block_index import Index
 
 BETTER_BY = 8  # fixed: equal bytes by which a hit must beat the current alignment
 
@@ -107,43 +109,33 @@ def scan_chunk(
             yield now.close(old, new, scan, pos)
 
 
-def exact_matches(pairs: DataFrame, chunks: DataFrame, hits: DataFrame, block: int) -> DataFrame:
-    """Matches (MATCHES) of each chunk, with offsets of new relative to it. [F5]
+def exact_matches(spans: DataFrame, block: int) -> DataFrame:
+    """Matches (MATCHES) of each chunk of spans, with offsets of new relative to it. [F5]
 
-    The hits of a chunk, one for each of its bytes at most, come together in order; so the
-    chunk size bounds what a row holds. An empty chunk has no matches.
+    One index serves all chunks of a span; a chunk has a hit for each of its bytes at most.
+    An empty chunk has no matches.
     """
-    of_chunk = hits.groupBy("pair_id", "chunk_idx").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "old_off"))).alias("hits")
-    )
-    rows = (
-        chunks.join(of_chunk, ["pair_id", "chunk_idx"], "left")
-        .join(pairs.select("pair_id", "old"), "pair_id")
-        .select(
-            F.col("pair_id").cast("string").alias("pair_id"),
-            "chunk_idx",
-            "old",
-            "bytes",
-            F.col("hits.pos").alias("at"),
-            F.col("hits.old_off").alias("of"),
-        )
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                old, new = as_array(r["old"]), as_array(r["bytes"])
-                at, of = (np.array(r[x] or [], dtype=np.int64) for x in ("at", "of"))
-                for seq, (o, s, n, end) in enumerate(scan_chunk(old, new, at, of, block)):
-                    parts = old[o : o + n].tobytes(), new[s:end].tobytes()
-                    out.append((r["pair_id"], r["chunk_idx"], seq, o, s, n, end, *parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], t) for i, t in enumerate(_TYPES)],
-                names=[x.split()[0] for x in MATCHES.split(", ")],
-            )
-
-    return rows.where(F.length("bytes") > 0).mapInArrow(scan, MATCHES)
-
-
-_TYPES = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in parts:
+            for pair, first, size, old, new in zip(*(part[c] for c in _SPAN), strict=True):
+                pair, first, size = pair.as_py(), first.as_py(), size.as_py()
+                old, new = as_array(old.as_py()), as_array(new.as_py())
+                index = Index(old, block)
+                for i, start in enumerate(range(0, len(new), size)):
+                    own = new[start : start + size]
+                    for seq, (o, s, n, end) in enumerate(scan_chunk(old, own, *index.probe(own), block)):
+                        yield pair, first + i, seq, o, s, n, end, old[o : o + n].tobytes(), own[s:end].tobytes()
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(rows(parts), _SCANNED)
+
+    return spans.select(*_SPAN).mapInArrow(scan, MATCHES)
+
+
+_SPAN = ("pair_id", "chunk_idx", "size", "old", "bytes")
+_SCANNED = pa.schema(
+    [("pair_id", pa.string()), ("chunk_idx", pa.int32()), ("seq", pa.int32())]
+    + [(x, pa.int64()) for x in ("add_old_start", "add_new_start", "add_length", "copy_end")]
+    + [("old_part", pa.binary()), ("new_part", pa.binary())]
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bytesops as b
@@ -152,22 +152,17 @@ def index_geometry(spark, sf_dir):
     return block_index.index_geometry(lengths, BLOCK)
 
 
-def _probed(pairs: DataFrame):
-    chunks = chunking.chunks(pairs, None)
-    return chunks, block_index.block_index(pairs, BLOCK)
-
-
 @query(f"WITH {HISTORY}, {INDEX}, {PROBES}, {HITS} SELECT pair_id, pos, old_off FROM hits")
 def probe_hits(spark, sf_dir):
     """[X5, X6]"""
-    return block_index.hits(*_probed(history(spark, sf_dir)), BLOCK).select("pair_id", "pos", "old_off")
+    return block_index.hits(chunking.spans(history(spark, sf_dir), None), BLOCK).select("pair_id", "pos", "old_off")
 
 
 @query(f"""WITH {HISTORY}, {INDEX}, {PROBES} SELECT q.pair_id, count(*) AS n, min(q.pos) AS first, max(q.pos) AS last
 FROM q ANTI JOIN x ON q.pair_id = x.pair_id AND substr(q.n, 2 * q.pos + 1, {2 * BLOCK}) = x.block GROUP BY q.pair_id""")
 def probe_miss(spark, sf_dir):
     """[X5]"""
-    missed = block_index.misses(*_probed(history(spark, sf_dir)), BLOCK)
+    missed = block_index.misses(chunking.spans(history(spark, sf_dir), None), BLOCK)
     return missed.groupBy("pair_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
@@ -200,6 +195,21 @@ def near_copy_bases(spark, sf_dir):
     return of_base.groupBy("base_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
 
 
+@query(f"""WITH {DOCS}, b AS (
+  SELECT DISTINCT CAST(pair_id AS BIGINT) AS doc_id, substr(o, 2 * b0 + 1, {2 * BLOCK}) AS block
+  FROM (SELECT *, unnest(range(0, size - {BLOCK - 1}, {BLOCK})) AS b0 FROM d)
+), s AS (
+  SELECT x.doc_id, y.doc_id AS other FROM b AS x JOIN b AS y ON x.block = y.block AND x.doc_id <> y.doc_id
+  GROUP BY ALL HAVING count(*) >= {versions.SHARED}
+), k AS (SELECT doc_id, md5(string_agg(block, '' ORDER BY block)) AS blocks FROM b GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY blocks) AS class_id FROM k)
+SELECT c.doc_id, c.class_id, count(*) AS links FROM c JOIN s ON c.doc_id = s.doc_id GROUP BY ALL""")
+def near_copy_links(spark, sf_dir):
+    """Documents that share five distinct aligned blocks with others: the number of those. [P1]"""
+    held = block_index.block_index(documents(spark, sf_dir), BLOCK)
+    return versions.near_copies(held.select(F.col("pair_id").cast("long").alias("doc_id"), "block"))
+
+
 def _prefix(pairs: str) -> str:
     """Common prefix of a and b in bytes by pair_id: first the 64 bytes that differ, then the byte."""
     return f"""w AS (SELECT pair_id, a, b, unnest(range(0, least(len(a), len(b)) // 128 + 1)) AS j FROM {pairs}),
@@ -257,18 +267,42 @@ def delta_inverse(spark, sf_dir):
     return back.select("pair_id", F.md5(F.hex(b.wrapping_plus(F.col("delta"), F.col("old")))).alias("digest"))
 
 
-@query(f"WITH {EDITS} SELECT pair_id, substr(n, 1, 128) = substr(o, 1, 128) AS same FROM e")
+_WITH_SAME = f"""{EDITS}, k AS (
+  SELECT pair_id, o, n FROM e UNION ALL SELECT 'same:' || pair_id, o, o FROM d
+), l AS (SELECT pair_id, o, n, least(len(o), len(n)) AS len FROM k WHERE len(n) > 0)"""
+
+
+def _one_control(spark, sf_dir):
+    """The control of a match of all of new with the start of old: edited and equal versions."""
+    docs = documents(spark, sf_dir)
+    equal = docs.select(F.concat(F.lit("same:"), "pair_id").alias("pair_id"), "old", F.col("old").alias("new"))
+    pairs = edits(spark, sf_dir).unionByName(equal).where(F.length("new") > 0)
+    length = F.least(F.length("old"), F.length("new")).cast("long")
+    zero = F.lit(0).cast("long")
+    whole = pairs.select(
+        "pair_id",
+        F.lit(0).alias("chunk_idx"),
+        F.lit(0).alias("seq"),
+        zero.alias("add_old_start"),
+        zero.alias("add_new_start"),
+        length.alias("add_length"),
+        F.length("new").cast("long").alias("copy_end"),
+        b.slice_bytes(F.col("old"), 0, length).alias("old_part"),
+        F.col("new").alias("new_part"),
+    )
+    return controls.controls(whole)
+
+
+@query(f"WITH {_WITH_SAME} SELECT pair_id, substr(n, 1, len) = substr(o, 1, len) AS same FROM l")
 def zero_delta_flag(spark, sf_dir):
-    """Whether the first 64 bytes have no differences. [C2]"""
-    same = b.slice_bytes(F.col("new"), 0, 64) == b.slice_bytes(F.col("old"), 0, 64)
-    return edits(spark, sf_dir).select("pair_id", same.alias("same"))
+    """Whether a control's bytes to add are all 0. [C2]"""
+    return _one_control(spark, sf_dir).select("pair_id", "same")
 
 
-@query(f"WITH {EDITS} SELECT pair_id, substr(n, 2 * (len(o) // 4) + 1, {2 * len(INSERTED)}) AS literal FROM e")
+@query(f"WITH {_WITH_SAME} SELECT pair_id, substr(n, len + 1) AS literal FROM l")
 def literal_slice(spark, sf_dir):
-    """[F10]"""
-    half = F.floor(F.length("old") / 2)
-    return edits(spark, sf_dir).select("pair_id", F.hex(b.slice_bytes(F.col("new"), half, len(INSERTED))).alias("literal"))
+    """A control's literal bytes: new beyond the length of old. [F10]"""
+    return _one_control(spark, sf_dir).select("pair_id", F.hex("copy").alias("literal"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS code,
@@ -284,8 +318,8 @@ def zigzag_varint(spark, sf_dir):
 
 def _covered(spark, sf_dir):
     pairs = history(spark, sf_dir)
-    chunks, index = _probed(pairs)
-    return pairs, chunks, cover.greedy_cover(block_index.hits(chunks, index, BLOCK), BLOCK)
+    hits = block_index.hits(chunking.spans(pairs, None), BLOCK)
+    return pairs, chunking.chunks(pairs, None), cover.greedy_cover(hits, BLOCK)
 
 
 _COVERED = f"WITH RECURSIVE {HISTORY}, {INDEX}, {PROBES}, {HITS}, {COVER}"
@@ -310,8 +344,6 @@ def seek_lead(spark, sf_dir):
 @query(f"""{_COVERED}, {CONTROLS} SELECT pair_id, CAST(seq AS INTEGER) AS seq, CAST(old_off AS BIGINT) AS old_pos FROM m""")
 def old_cursor(spark, sf_dir):
     """Where each control reads old: a running sum of what was added and sought. [A6]"""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("pair_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     moved = F.sum(F.col("add_length") + F.col("seek")).over(order)
     return _controls(spark, sf_dir).select("pair_id", "seq", F.coalesce(moved, F.lit(0)).alias("old_pos"))
@@ -327,12 +359,31 @@ def control_sizes(spark, sf_dir):
     return codes.groupBy("pair_id").agg(F.sum(F.length("code")).alias("raw_len"))
 
 
-@query(f"WITH {HISTORY} SELECT pair_id FROM p WHERE false")
+@query(f"""WITH {HISTORY}
+SELECT pair_id, (len(n) // 2 + {CHUNK - 1}) // {CHUNK} AS tiled, CAST(0 AS BIGINT) AS untiled FROM p WHERE len(n) > 0""")
 def tiling_check(spark, sf_dir):
-    """Chunks that the exact scan's matches don't tile: none."""
+    """Chunks that the exact scan's matches tile, and others, by pair. [F5]"""
+    pairs = history(spark, sf_dir)
+    checked = cover.tiling(deltas.matches(pairs, DiffOptions(BLOCK, CHUNK)), chunking.chunks(pairs, CHUNK))
+    return checked.groupBy("pair_id").agg(
+        F.count_if("tiled").alias("tiled"), F.count_if(~F.col("tiled")).alias("untiled")
+    )
+
+
+@query(f"""WITH {HISTORY} SELECT pair_id, CAST(0 AS BIGINT) AS first, len(n) // 2 AS last, len(n) // 2 AS covered, CAST(0 AS BIGINT) AS gaps
+FROM p WHERE len(n) > 0""")
+def rebased_matches(spark, sf_dir):
+    """Matches of chunks with offsets of the whole new version, which they cover without gaps. [F4]"""
     pairs = history(spark, sf_dir)
-    options = DiffOptions(BLOCK, CHUNK)
-    return cover.untiled(deltas.matches(pairs, options), chunking.chunks(pairs, CHUNK)).select("pair_id")
+    found = deltas.rebased(deltas.matches(pairs, DiffOptions(BLOCK, CHUNK)), chunking.chunks(pairs, CHUNK))
+    order = Window.partitionBy("pair_id").orderBy("chunk_idx", "seq")
+    before = F.coalesce(F.lag("copy_end").over(order), F.lit(0))
+    return found.withColumn("gap", (F.col("add_new_start") != before).cast("long")).groupBy("pair_id").agg(
+        F.min("add_new_start").alias("first"),
+        F.max("copy_end").alias("last"),
+        F.sum(F.col("copy_end") - F.col("add_new_start")).alias("covered"),
+        F.sum("gap").alias("gaps"),
+    )
 
 
 def _le(x: str, n: int) -> str:
@@ -403,12 +454,13 @@ def copy_from_old_decode(spark, sf_dir):
     return new.select("pair_id", F.length("bytes").cast("long").alias("new_len"), F.md5(F.hex("bytes")).alias("digest"))
 
 
-@query(f"""WITH {DOCS}, a AS (SELECT pair_id, o, size, 5 % size AS k FROM d WHERE size > 1)
-SELECT pair_id, md5(substr(o, 3, 2) || substr(o, 1, 2) || substr(o, 5) || substr(o, 2 * k + 1, 80) || '4141') AS digest FROM a""")
+@query(f"""WITH {DOCS}, a AS (
+  SELECT pair_id, CASE WHEN size > 1 THEN substr(o, 3, 2) || substr(o, 1, 2) || substr(o, 5) ELSE o END AS o, size, 5 % size AS k FROM d WHERE size > 0)
+SELECT pair_id, md5(o || substr(o, 2 * k + 1, 80) || '4141') AS digest FROM a""")
 def edit_script_apply(spark, sf_dir):
-    """[V7, D15]"""
-    script = F.lit(bytes([5, 40, 130, 65, 150, 0]))
-    old = documents(spark, sf_dir).where(F.length("old") > 1)
+    """[V7, D15] Swap the first two bytes, repeat 40 from the sixth on, append two; not of empty versions."""
+    script = F.lit(bytes([150, 0, 5, 40, 130, 65]))
+    old = documents(spark, sf_dir).where(F.length("old") > 0)
     return old.select("pair_id", F.md5(F.hex(synth.scripted(F.col("old"), script))).alias("digest"))
 
 
@@ -418,17 +470,19 @@ def cycle_ok(spark, sf_dir):
     return deltas.cycle(history(spark, sf_dir), DiffOptions(BLOCK)).select("pair_id", "new_size", "ok")
 
 
-@query(f"""WITH {DOCS} SELECT pair_id, CASE WHEN size >= 1048576 THEN 'MiB' WHEN size >= 1024 THEN 'KiB' ELSE 'B' END AS unit,
-  CASE WHEN size > 1048576 THEN 'MiB' WHEN size > 1024 THEN 'KiB' ELSE 'B' END AS fine_unit FROM d""")
+@query(f"""WITH {DOCS}, k AS (
+  SELECT pair_id, size * f AS size FROM d, (VALUES (1), (64), (4096)) AS t(f)
+)
+SELECT pair_id, size, CASE WHEN size >= 1048576 THEN printf('%.1f MiB', size / 1048576) WHEN size >= 1024 THEN printf('%.0f KiB', size / 1024)
+    ELSE printf('%d B', size) END AS coarse,
+  CASE WHEN size > 1048576 THEN printf('%.2f MiB', size / 1048576) WHEN size > 1024 THEN printf('%.1f KiB', size / 1024)
+    ELSE printf('%d B', size) END AS fine FROM k""")
 def format_size_doc(spark, sf_dir):
-    """[M8, M9] The numbers' last digits may be rounded otherwise elsewhere."""
-    size = F.length("old")
-
-    def unit(text):
-        return F.regexp_extract(text, "[A-Za-z]+$", 0)
-
-    return documents(spark, sf_dir).select(
-        "pair_id", unit(b.format_size(size)).alias("unit"), unit(b.format_size_fine(size)).alias("fine_unit")
+    """[M8, M9] Sizes as they are, 64 and 4096 times as large."""
+    sizes = F.array(*[F.length("old").cast("long") * f for f in (1, 64, 4096)])
+    each = documents(spark, sf_dir).select("pair_id", F.explode(sizes).alias("size"))
+    return each.select(
+        "pair_id", "size", b.format_size(F.col("size")).alias("coarse"), b.format_size_fine(F.col("size")).alias("fine")
     )
 
 

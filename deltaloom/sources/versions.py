@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +12,25 @@ from ..functions.bytesops import slice_bytes, text_bytes
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name (below the folder), length and content of each file; content is read if used."""
+    """name, length and content of each file; content is read if used.
+
+    name is the path below the folder that is read, for a single file its own name, and for a
+    pattern the whole path: no two files have one name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    folder = F.lit(path.rstrip("/") + "/")
-    after = F.substring_index(F.col("path"), folder, -1)
-    name = F.when(after == F.col("path"), F.substring_index("path", "/", -1)).otherwise(after)
-    return files.select(name.alias("name"), "length", "content")
+    # Spark's scan leaves out files of no bytes; only its list of files has them.
+    names = [(re.sub("^([^:/]+):///", r"\1:/", unquote(x)),) for x in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    files = files.select("path", "length", "content").unionByName(empty)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    below = F.col("path").startswith(folder + "/")
+    name = F.when(below, F.expr(f"substring(path, {len(folder) + 2})")).when(
+        F.col("path") == folder, F.substring_index("path", "/", -1)
+    )
+    return files.select(F.coalesce(name, F.col("path")).alias("name"), "length", "content")
 
 
 def file_pairs(spark: SparkSession, old: str, new: str) -> DataFrame:
@@ -86,3 +102,41 @@ def successive_turns(conversations: DataFrame) -> DataFrame:
         text_bytes(F.col("text")).alias("new"),
     )
     return turns.where(F.col("old").isNotNull() & F.col("new").isNotNull())
+
+
+SHARED = 5  # distinct blocks that near copies share
+
+
+def near_copies(held: DataFrame) -> DataFrame:
+    """doc_id, class_id and links of documents (doc_id, block, each once) with near copies. [P1]
+
+    Documents with equal sets of blocks are one class, of its least id, and stand in joins
+    once. links counts the documents that share SHARED blocks with one, its class included. Of a
+    set's blocks all but the SHARED - 1 that most classes hold are joined: two sets that
+    share SHARED blocks share one of those, and a block of nearly all documents is none.
+    """
+    number = F.xxhash64("block")
+    sets = held.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bit_xor(number).alias("x"), F.sum(F.shiftright(number, 20)).alias("s")
+    )
+    of_set = sets.where(F.col("n") >= SHARED).groupBy("n", "x", "s")
+    classes = of_set.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+    members = sets.join(classes, ["n", "x", "s"]).select("doc_id", "class_id", "size")
+    blocks = held.join(members.where("doc_id = class_id"), "doc_id").select("class_id", "block")
+    several = blocks.groupBy("block").agg(F.count("*").alias("holders")).where("holders > 1")
+    counted = blocks.join(several, "block")
+    common_first = Window.partitionBy("class_id").orderBy(F.desc("holders"), "block")
+    ranked = blocks.join(several, "block", "left").withColumn("place", F.row_number().over(common_first))
+    rare = ranked.where((F.col("place") >= SHARED) & F.col("holders").isNotNull()).select("class_id", "block")
+    x = rare.select(F.col("class_id").alias("a"), "block")
+    y = rare.select(F.col("class_id").alias("b"), "block")
+    candidates = x.join(y, "block").where("a < b").select("a", "b").distinct()
+    of_a = candidates.join(counted.select(F.col("class_id").alias("a"), "block"), "a")
+    both = of_a.join(counted.select(F.col("class_id").alias("b"), "block"), ["b", "block"])
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
+    ends = F.inline(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other"))))
+    sizes = classes.select(F.col("class_id").alias("other"), "size")
+    others = pairs.select(ends).join(sizes, "other").groupBy("class_id").agg(F.sum("size").alias("others"))
+    linked = members.join(others, "class_id", "left")
+    links = F.coalesce("others", F.lit(0)) + F.col("size") - 1
+    return linked.select("doc_id", "class_id", links.alias("links")).where("links > 0")

@@ -70,12 +70,8 @@ def test_round_trips(spark, mode, options):
 @given(st.binary(min_size=1, max_size=120), st.binary(max_size=40), st.sampled_from([4, 5, 31, 32, 33]))
 def test_scan_tiles_and_rebuilds(old, script, block):
     new = synth.run_script(old, script)
-    index = {}
-    for i in range(0, len(old) - block + 1, block):
-        index.setdefault(old[i : i + block], i)
-    hits = [(p, index[new[p : p + block]]) for p in range(len(new) - block + 1) if new[p : p + block] in index]
-    at, of = (np.array([h[i] for h in hits], dtype=np.int64) for i in (0, 1))
     o, n = b.as_array(old), b.as_array(new)
+    at, of = block_index.Index(o, block).probe(n)
     end, out = 0, b""
     for old_start, start, length, stop in scan.scan_chunk(o, n, at, of, block):
         assert start == end and stop >= start + length and old_start + length <= len(old)
@@ -85,6 +81,92 @@ def test_scan_tiles_and_rebuilds(old, script, block):
     assert out == new and end == len(new)
 
 
+def matches_byte_by_byte(old, new, block):
+    """The scan as it is defined: each place is looked up, and all counts are made anew."""
+    index = {}
+    for i in range(0, len(old) - block + 1, block):
+        index.setdefault(old[i : i + block], i)
+
+    def looked_up(place):
+        start = index.get(new[place : place + block]) if place + block <= len(new) else None
+        if start is None:
+            return 0, 0
+        return start, b.prefix_of(b.as_array(old[start:]), b.as_array(new[place:]))
+
+    def agree(i, shift):
+        return 0 <= i + shift < len(old) and old[i + shift] == new[i]
+
+    def best(gains):
+        sums = [sum(gains[:k]) for k in range(len(gains) + 1)]
+        return sums.index(max(sums))
+
+    out, from_old, from_new, shift, place, length, start = [], 0, 0, 0, 0, 0, 0
+    while place < len(new):
+        place += length
+        reach = place
+        for at in range(place, len(new)):
+            start, length = looked_up(at)
+            reach = max(reach, at + length)
+            kept = sum(agree(i, shift) for i in range(at, reach))
+            if length > kept + 8 or length == kept > 0:
+                place = at
+                break
+        else:
+            place, kept = len(new), None
+        if kept == length:
+            continue
+        votes = [1 if old[from_old + i] == new[from_new + i] else -1 for i in range(min(place - from_new, len(old) - from_old))]
+        ahead, back = best(votes), 0
+        if place < len(new):
+            back = best([1 if old[start - i] == new[place - i] else -1 for i in range(1, min(place - from_new, start) + 1)])
+        both = from_new + ahead - (place - back)
+        if both > 0:
+            shared = range(place - back, place - back + both)
+            cut = best([agree(i, from_old - from_new) - agree(i, start - place) for i in shared])
+            ahead, back = ahead - both + cut, back - cut
+        out.append((from_old, from_new, ahead, place - back))
+        from_new, from_old, shift = place - back, start - back, start - place
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=90), st.binary(max_size=30), st.sampled_from([4, 5, 8, 32]), st.booleans())
+def test_scan_is_the_one_byte_by_byte(old, script, block, few):
+    old = bytes(x % 3 for x in old) if few else old
+    new = synth.run_script(old, script) if old else script
+    index = block_index.Index(b.as_array(old), block)
+    found = list(scan.scan_chunk(b.as_array(old), b.as_array(new), *index.probe(b.as_array(new)), block))
+    assert found == matches_byte_by_byte(old, new, block)
+
+
+def test_versions_of_one_byte(spark):
+    rows = [("a", bytearray(b"\0" * 300_000), bytearray(b"\0" * 300_001)), ("b", bytearray(b"\0" * 1000), bytearray(b"\0" * 10 + b"\1" + b"\0" * 5000))]
+    for options in (DiffOptions(32, None), DiffOptions(32, 1 << 10), DiffOptions(4, None, 22)):
+        assert all(r.ok for r in deltas.cycle(frame(spark, rows), options).collect())
+
+
+def test_spans_of_chunks(spark, monkeypatch):
+    from deltaloom.operators import chunking
+
+    monkeypatch.setattr(chunking, "TOGETHER", 70)
+    monkeypatch.setattr(codec, "TOGETHER", 70)
+    pairs = frame(spark, [("a", bytearray(O128), bytearray(PUT_IN * 5)), ("b", bytearray(b""), bytearray(b""))])
+    for options in (DiffOptions(8, 33), DiffOptions(8, 100)):
+        report = {r.pair_id: r for r in deltas.cycle(pairs, options).collect()}
+        assert report["a"].ok and report["b"].ok
+        assert report["a"].patch_size == len(deltas.diff(pairs, options).where("pair_id = 'a'").first().patch)
+    whole = deltas.rebased(deltas.matches(pairs, DiffOptions(8, 33)), chunks(pairs, 33)).orderBy("chunk_idx", "seq").collect()
+    assert whole[0].add_new_start == 0 and whole[-1].copy_end == 500
+    assert all(x.copy_end == y.add_new_start for x, y in zip(whole, whole[1:], strict=False))
+
+
+def test_repeated_and_null_ids(spark):
+    pairs = frame(spark, [("a", bytearray(O64), bytearray(O96)), ("a", bytearray(O96), bytearray(O64))])
+    with pytest.raises(Exception, match="repeated pair_id"):
+        deltas.diff(pairs).collect()
+    assert deltas.diff(frame(spark, [(None, bytearray(O64), bytearray(O96))])).count() == 0
+
+
 @pytest.mark.parametrize(
     ("text", "needle", "expected"),
     [
@@ -166,6 +248,9 @@ def test_broken_patches(spark):
         patchfile.parse_patch(patch[:4] + b"\1" + patch[5:])
     with pytest.raises(PatchDecodeError, match="invalid data"):
         codec.decompress(patch[60:-4] + b"????", 7)
+    for wrong in (patch[60:] + b"?", patch[60:] + patch[60:], patch[60:-1]):
+        with pytest.raises(PatchDecodeError, match="invalid data"):
+            codec.decompress(wrong, 7)
     rows = spark.createDataFrame([("x", bytearray(patch[:30])), ("y", bytearray(patch)), ("z", None)], "pair_id string, patch binary")
     errors = {r.pair_id: r.error for r in patchfile.parse(rows, permissive=True).collect()}
     assert errors == {"x": "truncated patch", "y": None, "z": "truncated patch"}
@@ -189,6 +274,8 @@ def test_sizes(spark):
         b.next_power_of_two(F.lit(0)), b.next_power_of_two(F.lit(8)), b.next_power_of_two(F.lit(9)),
     ).first()
     assert list(row) == ["5.0 MiB", "2 KiB", "7 B", "1024 B", 1, 8, 16]
+    row = spark.range(1).select(b.format_size(F.lit(2560)), b.format_size_fine(F.lit(1 << 30)), b.next_power_of_two(F.lit((1 << 61) + 1))).first()
+    assert list(row) == ["2 KiB", "1024.00 MiB", 1 << 62]
 
 
 def test_files_and_pages(spark, tmp_path):
@@ -216,8 +303,39 @@ def test_stream_of_versions(spark, tmp_path):
     assert {r.pair_id: bytes(r.new) for r in rebuilt} == {"x": PUT_IN, "y": b"new"}
 
 
+def test_later_batches_follow_earlier_ones(spark, tmp_path):
+    known = spark.createDataFrame([("x", bytearray(O96))], "name string, content binary")
+    olds = known.select(F.col("name").alias("pair_id"), F.col("content").alias("old"))
+    for i, new in enumerate((PUT_IN, PUT_IN + O64)):
+        news = spark.createDataFrame([("x", bytearray(new))], known.schema)
+        news.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(known.schema).parquet(str(tmp_path / "in"))
+        write_patches(stream, known, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        records = versions.read_records(spark, str(tmp_path / "out")).where(f"batch = {i}")
+        assert bytes(codec.joined_chunks(codec.apply_chunks(records, olds)).first().new) == new
+        olds = spark.createDataFrame([("x", bytearray(new))], "pair_id string, old binary")
+
+
+def test_files_of_one_name(spark, tmp_path, monkeypatch):
+    for name in ("p/old/x", "p/old/a/x", "p/new/x", "p/new/a/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * 20)
+    for old, new in ((f"file:{tmp_path}/p/old", f"{tmp_path}/p/new/"), (f"{tmp_path}/p/../p/old", f"{tmp_path}/p/new")):
+        pairs = {r.pair_id: (bytes(r.old), bytes(r.new)) for r in versions.file_pairs(spark, old, new).collect()}
+        assert pairs == {n: (f"p/old/{n}".encode() * 20, f"p/new/{n}".encode() * 20) for n in ("x", "a/x")}
+    assert {r.name for r in versions.read_files(spark, f"{tmp_path}/p/old/x").collect()} == {"x"}
+    assert versions.read_files(spark, f"{tmp_path}/p/*/x").select("name").distinct().count() == 2
+
+
+def test_threads_are_at_least_one(capsys):
+    with pytest.raises(SystemExit):
+        cli.main(["cycle", "a", "b", "--threads", "0"])
+    assert "at least 1" in capsys.readouterr().err
+
+
 def test_commands(spark, tmp_path, capsys):
-    old, new, patch, out = (str(tmp_path / x) for x in ("old", "new", "patch", "out"))
+    (tmp_path / "other").mkdir()
+    old, new, patch, out = (str(tmp_path / x) for x in ("same", "other/same", "patch", "out"))
     open(old, "wb").write(O96 * 3)
     open(new, "wb").write(PUT_IN * 3)
     options = DiffOptions(32, 100)
@@ -225,4 +343,5 @@ def test_commands(spark, tmp_path, capsys):
     cli.patch(spark, old, patch, out)
     assert open(out, "rb").read() == PUT_IN * 3
     cli.cycle(spark, old, new, options)
-    assert "of 300 B" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "of 300 B" in said and "dtime" in said and "ptime" in said and "MiB/s" in said
