@@ -3,8 +3,9 @@
 Every k words in a row of a text are hashed, and all hashes are joined in Spark to the
 positions of the templates' own. A hit of text position p and template position t votes for
 the diagonal p - t: where a template stands as a whole, all its hits share one. Votes are
-summed by diagonal, neighbouring diagonals (a few words put in or left out) are merged, and
-a span counts if it covers enough different positions of its template.
+summed by diagonal, and neighbouring diagonals (a few words put in or left out) are merged.
+A merged span is verified where its diagonals lie closest: those within the words that the
+template may gain or lose in all must cover enough of its different positions.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ._words import shingle_hashes, word_hashes
 
 SHORT, LONG = 2, 3  # words in a hash, for phrases and for other templates
 GAP = 3  # words by which diagonals may differ to be merged
+EDITED = 0.2  # of a template's words, or GAP if that is more: how far apart a span's diagonals may lie
 COVERED = 0.8  # of a template's positions
 
 
@@ -66,7 +68,12 @@ NOTICES = (
     Template("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("proprietary", "may not be reproduced or distributed without the prior written permission"),
 )
-_HIT = "hash long, template int, label string, phrase boolean, words int, keys int, at int"
+_HIT = "hash long, template int, label string, phrase boolean, reach int, keys int, at int"
+
+
+def reach(t: Template, words: int) -> int:
+    """How far apart the diagonals of a span of the template may lie."""
+    return 0 if t.phrase else max(GAP, int(EDITED * words))
 
 
 def _template_rows(templates: tuple[Template, ...]) -> list[tuple]:
@@ -76,14 +83,14 @@ def _template_rows(templates: tuple[Template, ...]) -> list[tuple]:
         keys = shingle_hashes(words, k).view(np.int64).tolist()
         if not keys:
             raise ValueError(f"a template needs {k} words: {t.text!r}")
-        rows += [(h, i, t.label, t.phrase, len(words), len(keys), p) for p, h in enumerate(keys)]
+        rows += [(h, i, t.label, t.phrase, reach(t, len(words)), len(keys), p) for p, h in enumerate(keys)]
     return rows
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_words and hashes: 0 for the text itself, then those of 2 words, then of 3."""
+    """doc_id, same, n_words and hashes: 0 for the text itself, then those of 2 words, then of 3."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, same = batch.columns
         for first, counts, words in word_hashes(texts):
             parts, sizes, at = [], [], 0
             for n in counts.tolist():
@@ -97,10 +104,11 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, len(counts)),
+                    same.slice(first, len(counts)),
                     pa.array(counts, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                names=["doc_id", "n_words", "hashes"],
+                names=["doc_id", "same", "n_words", "hashes"],
             )
 
 
@@ -124,16 +132,14 @@ def scan_licenses(
     # The row of a text's own hash 0 keeps texts without hits, as template -1.
     rows.append((0, -1, None, False, 0, 0, 0))
     keys = F.broadcast(spark.createDataFrame(rows, _HIT))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows of one id and text go through as one, counted; a hash of the text tells others of its id apart.
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
     id_type = texts.schema["doc_id"].dataType
-    hashed = texts.mapInArrow(
-        _hash_batches,
-        StructType().add("doc_id", id_type).add("n_words", LongType()).add("hashes", ArrayType(LongType())),
-    )
-    # Tells rows of one id apart: the place in the scan at which the text was read.
-    hashed = hashed.withColumn("row", F.monotonically_increasing_id())
-    text = ["doc_id", "row", "n_words"]
-    found = ["template", "label", "phrase", "words", "keys"]
+    kinds = StructType().add("doc_id", id_type).add("same", LongType()).add("n_words", LongType())
+    hashed = texts.mapInArrow(_hash_batches, kinds.add("hashes", ArrayType(LongType())))
+    text = ["doc_id", "same", "n_words"]
+    found = ["template", "label", "phrase", "reach", "keys"]
     hits = hashed.select(*text, F.posexplode("hashes").alias("p", "hash")).join(keys, "hash")
     pairs = F.greatest(F.col("n_words") - SHORT + 1, F.lit(0))
     place = F.when(F.col("phrase"), F.col("p") - 1).otherwise(F.col("p") - 1 - pairs)
@@ -143,29 +149,37 @@ def scan_licenses(
         hits.where(right)
         .withColumn("diagonal", (place - F.col("at")).cast("long"))
         .groupBy(*text, *found, "diagonal")
-        .agg(F.collect_set("at").alias("met"))
+        .agg(F.collect_set("at").alias("met"), F.count("*").alias("n"))
     )
     by_diagonal = Window.partitionBy(*text, "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= GAP
-    merged = (
-        votes.withColumn("fresh", (~F.coalesce(near & ~F.col("phrase"), F.lit(False))).cast("int"))
+    beside = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= GAP
+    ahead = by_diagonal.rangeBetween(0, max(r[4] for r in rows))
+    near = F.filter("ahead", lambda v: v["diagonal"] <= F.col("diagonal") + F.col("reach"))
+    spans = (
+        votes.withColumn("fresh", (~F.coalesce(beside & ~F.col("phrase"), F.lit(False))).cast("int"))
         .withColumn("span", F.sum("fresh").over(by_diagonal))
-        .groupBy(*text, *found, "span")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"),
-            F.min(F.col("diagonal") + F.array_min("met")).alias("first"),
-            F.max(F.col("diagonal") + F.array_max("met")).alias("last"),
-        )
+        .withColumn("ahead", F.collect_list(F.struct("diagonal", "met")).over(ahead))
+        .withColumn("near", near)
+        .withColumn("positions", F.size(F.array_distinct(F.flatten(F.transform("near", lambda v: v["met"])))))
+    )
+    first = F.array_min(F.transform("near", lambda v: v["diagonal"] + F.array_min(v["met"])))
+    last = F.array_max(F.transform("near", lambda v: v["diagonal"] + F.array_max(v["met"])))
+    best = F.max_by(
+        F.struct("positions", first.alias("first"), last.alias("last")), F.struct("positions", -F.col("diagonal"))
     )
+    merged = spans.groupBy(*text, *found, "span").agg(best.alias("best"), F.max("n").alias("n"))
     k = F.when(F.col("phrase"), F.lit(SHORT)).otherwise(F.lit(LONG))
-    covered = F.size("met") / F.col("keys")
+    covered = F.col("best.positions") / F.col("keys")
     least = F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.lit(COVERED))
     span = F.struct(
-        F.col("first").alias("start"),
-        (F.col("last") + k).alias("end"),
+        F.col("best.first").alias("start"),
+        (F.col("best.last") + k).alias("end"),
         "label",
         "phrase",
         covered.alias("covered"),
     )
     verified = F.when((F.col("template") >= 0) & (covered >= least), span)
-    return merged.groupBy(*text).agg(F.array_sort(F.collect_list(verified)).alias("spans")).drop("row")
+    copies = F.max(F.when(F.col("template") < 0, F.col("n")))
+    whole = merged.groupBy(*text).agg(F.array_sort(F.collect_list(verified)).alias("spans"), copies.alias("copies"))
+    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "n_words", "spans")

@@ -199,12 +199,14 @@ SQL["op4_secret_scan"] = _secret_sql()
 
 def _license_sql() -> str:
     """The same votes with k words as text instead of hashes."""
-    rows = []
+    rows, furthest = [], 0
     for i, t in enumerate(license_scan.PHRASES + license_scan.NOTICES):
         words = re.findall("[a-z0-9]+", t.text.lower())
         k = license_scan.SHORT if t.phrase else license_scan.LONG
         grams = [" ".join(words[p : p + k]) for p in range(len(words) - k + 1)]
-        rows += [f"({i}, '{t.label}', {t.phrase}, {len(grams)}, {p}, '{g}')" for p, g in enumerate(grams)]
+        reach = license_scan.reach(t, len(words))
+        rows += [f"({i}, '{t.label}', {t.phrase}, {reach}, {len(grams)}, {p}, '{g}')" for p, g in enumerate(grams)]
+        furthest = max(furthest, reach)
     each = " UNION ALL ".join(
         f"SELECT rid, {phrase} AS phrase, i, array_to_string(w[i + 1:i + {k}], ' ') AS gram "
         f"FROM (SELECT rid, w, unnest(range(0, len(w) - {k - 1})) AS i FROM t)"
@@ -216,16 +218,20 @@ WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents
-), k(template, label, phrase, keys, p, gram) AS (VALUES {", ".join(rows)}), g AS ({each}),
+), k(template, label, phrase, reach, keys, p, gram) AS (VALUES {", ".join(rows)}), g AS ({each}),
 votes AS (
-  SELECT g.rid, k.template, k.label, k.phrase, k.keys, g.i - k.p AS diagonal, list(DISTINCT k.p) AS met
+  SELECT g.rid, k.template, k.label, k.phrase, k.reach, k.keys, g.i - k.p AS diagonal, list(DISTINCT k.p) AS met
   FROM g JOIN k ON g.gram = k.gram AND g.phrase = k.phrase GROUP BY ALL
 ), f AS (
   SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {license_scan.GAP}
-    THEN 0 ELSE 1 END AS fresh FROM votes
-), m AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM f),
-spans AS (
-  SELECT rid, label, phrase, len(list_distinct(flatten(list(met)))) / keys AS covered, min(diagonal + list_min(met)) AS first
+    THEN 0 ELSE 1 END AS fresh,
+    list({{'d': diagonal, 'met': met}}) OVER (PARTITION BY rid, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {furthest} FOLLOWING) AS ahead
+  FROM votes
+), m AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span,
+    len(list_distinct(flatten(list_transform(list_filter(ahead, lambda v: v.d <= diagonal + reach), lambda v: v.met)))) AS n FROM f
+), spans AS (
+  SELECT rid, label, phrase, max(n) / keys AS covered, min(diagonal + list_min(met)) AS first
   FROM m GROUP BY rid, template, label, phrase, keys, span
 ), ok AS (SELECT * FROM spans WHERE covered >= CASE WHEN phrase THEN 1.0 ELSE {license_scan.COVERED} END)
 SELECT doc_id, len(w) AS n_words, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from deltaloom.llm import (
+    _common,
     ann,
     chat_format,
     license_scan,
@@ -201,6 +202,68 @@ def test_near_duplicates_of_groups_and_odd_rows(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_texts_of_one_id(spark):
+    """Texts are judged by themselves: a copy of another row takes nothing else of its id along."""
+    rng = np.random.default_rng(14)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(4)]
+    rows = [(3, own[0]), (4, own[1]), (4, own[0]), (4, own[2]), (9, own[2] + " more"), (4, own[1]), (5, own[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = order_minhash.classes(df).collect()
+    assert len(found) == len(rows) and len({r.class_id for r in found}) == 4
+    by_id = Counter((r.doc_id, r.class_id) for r in found)
+    assert by_id[3, 3] == 1 and by_id[4, 3] == 1 and by_id[5, 5] == 1
+    kept = Counter(map(tuple, order_minhash.deduplicate(df).collect()))
+    assert kept[3, own[0]] == kept[4, own[1]] == kept[5, own[3]] == 1 and sum(kept.values()) == 4
+    assert (4, own[2]) in kept or (9, own[2] + " more") in kept
+
+
+def test_near_duplicates_far_from_their_pivots(spark):
+    """Texts of large buckets that are like some of a group but not like its least one."""
+    rng = np.random.default_rng(15)
+    passage, words = list(range(60)), list(range(1000, 1140))
+    rows = {}
+    for i in range(150):
+        rows[i] = passage + [int(x) for x in rng.integers(10**4, 10**6, 140)]
+    for i in range(100):  # each with some edits of its own
+        rows[1000 + i] = passage + [int(rng.integers(10**6, 10**7)) if rng.random() < 0.08 else w for w in words]
+    far = [x if j % 4 else 5 * 10**7 + j for j, x in enumerate(rows[1050][60:])]
+    rows[3000] = passage + far  # 35 of 200 words from one of the group, more from the others
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    alike = {i: np.array(w, np.int32) for i, w in rows.items()}
+
+    def like(i, j):
+        return order_minhash.within([(alike[i], alike[j], int(0.2 * max(len(alike[i]), len(alike[j])) + 1e-9))])[0]
+
+    assert like(3000, 1050) and got[3000] == 1000
+    assert all(got[i] == i for i in range(150)) and all(got[1000 + i] == 1000 for i in range(100))
+
+
+def test_settled_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(_common, "shared_folder", lambda _: str(tmp_path))
+        kept = _common.settle(spark.range(3))
+        assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1 and kept.count() == 3
+        _common.discard(kept)
+        assert not [p for p in tmp_path.iterdir() if p.is_dir()]
+
+    class Elsewhere:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError, match="share"):
+        _common.shared_folder(Elsewhere)
+
+
 def test_near_duplicates_of_a_large_mixed_bucket(spark, monkeypatch):
     """Pairs in a bucket of texts that share a passage only, which is all that they share."""
     rng = np.random.default_rng(11)
@@ -480,6 +543,9 @@ def test_licenses(spark, texts):
         -3: mit[: len(mit) // 2],
         -4: None,
         -5: "cc",
+        -6: "released under the x under the mit x the mit license",
+        -7: "released under x the MIT License",
+        -8: "general public license " * 20000 + "licensed under the MIT License",
     }
     rows = [*texts.items(), *extra.items(), (-5, "cc")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash")).withColumn("n_words", F.lit("clash"))
@@ -494,7 +560,8 @@ def test_licenses(spark, texts):
             wanted += [(i, i + len(p), t.label) for i in range(len(words)) if words[i : i + len(p)] == p]
         assert sorted((s.start, s.end, s.label) for s in r.spans if s.phrase) == sorted(wanted)
         found = {(s.label, s.start) for s in r.spans if not s.phrase}
-        assert (("mit", 30) in found) == (r.doc_id == -2) and (r.doc_id != -3 or not found)
+        assert (("mit", 30) in found) == (r.doc_id == -2) and (r.doc_id not in (-3, -6, -7) or not found)
+        assert r.doc_id != -8 or found == {("mit", 60000)}
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
