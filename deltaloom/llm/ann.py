@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import discard, settle
 
 CANDIDATES, QUERIES = 8192, 2048  # rows of a bucket that meet in a group, about
 #: On vectors without any structure (64 components, neighbours at 0.75 of the usual distance)
@@ -90,24 +90,25 @@ def nearest(
     """
 
     def rows(df: DataFrame, tables: int, probes: int) -> DataFrame:
+        """id, v and axes of the usable rows, settled: axes are found once, v keeps its own type."""
         limit = F.lit(float("inf"))
-        v = F.col(vector_col).cast("array<double>")
+        single = dict(df.dtypes)[vector_col] == "array<float>"
+        v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
         usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
         used = df.where(F.col(id_col).isNotNull() & usable & F.exists(v, lambda x: x != 0))
         used = used.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-        axes = _axes_udf(tables, probes, seed)(F.col("v"))
-        used = used.withColumn("axes", axes).withColumn("per", F.size("axes") / tables)
-        each = used.select("id", "v", "per", F.posexplode("axes").alias("at", "axis"))
-        return each.select(
-            "id", "v", F.size("v").alias("dim"), F.floor(F.col("at") / F.col("per")).alias("tab"), "axis"
-        )
-
-    found = settle(_found(rows(queries, tables, probes), rows(candidates, tables, 1), k))
+        axes = _axes_udf(tables, probes, seed)(F.col("v").cast("array<double>"))
+        return settle(used.withColumn("axes", axes))
+
+    q, c = rows(queries, tables, probes), rows(candidates, tables, 1)
+    found = settle(_found(q, c, tables, k))
+    discard(q, c)
     # A candidate lies on one axis of a table, so all axes of one table reach every candidate.
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     few = queries.join(enough, F.col(id_col).cast("long") == F.col("query_id"), "left_anti")
-    every = _found(rows(few, 1, ALL_AXES), rows(candidates, 1, 1), k)
-    found = found.unionByName(every).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    if few.where(F.col(id_col).isNotNull()).limit(1).count():
+        every = _found(rows(few, 1, ALL_AXES), rows(candidates, 1, 1), 1, k)
+        found = found.unionByName(every).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_score))
@@ -116,15 +117,24 @@ def nearest(
     )
 
 
-def _found(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id and score of the best of each group of a bucket's queries and candidates."""
+def _found(q: DataFrame, c: DataFrame, tables: int, k: int) -> DataFrame:
+    """query_id, vec_id and score of the best of each group of a bucket's queries and candidates.
+
+    q, c: id, v and axes of all tables in turn. The plan has a row for each bucket, at most
+    tables * 2 * components of them for a length; it is settled, so that its size is known
+    where it is joined and vectors are shuffled once, to their groups.
+    """
     bucket = ["dim", "tab", "axis"]
-    # One row for each bucket: at most tables * 2 * components of them for a length.
-    plan = (
-        c.groupBy(*bucket)
-        .agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("n_c"))
-        .join(q.groupBy(*bucket).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("n_q")), bucket)
-    )
+
+    def spread_out(rows: DataFrame) -> DataFrame:
+        per = F.size("axes") / tables
+        each = rows.select("id", "v", per.alias("per"), F.posexplode("axes").alias("at", "axis"))
+        return each.select("id", "v", F.size("v").alias("dim"), F.floor(F.col("at") / F.col("per")).alias("tab"), "axis")
+
+    q, c = spread_out(q), spread_out(c)
+    n_c = c.groupBy(*bucket).agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("n_c"))
+    n_q = q.groupBy(*bucket).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("n_q"))
+    plan = settle(n_c.join(n_q, bucket))
     own = F.xxhash64("id", "v")
 
     def spread(n):
@@ -152,7 +162,7 @@ def _found(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors, sorted by id."""
     ids = table["id"].to_numpy()
-    flat = np.concatenate([x.flatten().to_numpy() for x in table["v"].chunks] or [np.zeros(0)])
+    flat = np.concatenate([x.flatten().to_numpy() for x in table["v"].chunks] or [np.zeros(0)]).astype(np.float64)
     order = np.argsort(ids, kind="stable")
     return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else flat.reshape(0, 1)
 
