@@ -12,8 +12,8 @@ each text of a bucket is aligned with the bucket's least text; that joins nearly
 Of the buckets that still hold several components, small ones then test all pairs, and large
 ones meet another of their texts. The texts of large buckets that are open even now, each once
 whatever the number of its buckets, meet by rare word pairs: texts that need at most e edits
-share all but 2 e of their word pairs, so they share one of the 2 e + 1 rarest of each. All
-pairs of different components that share one, and that lengths, words and word pairs allow,
+share all but 2 e of their word pairs, so they share k of the 2 e + k rarest of each. All
+pairs of different components that share k, and that lengths, words and word pairs allow,
 are aligned. So every pair of a bucket is tested, or already joined, or told apart by a bound
 that holds for it.
 """
@@ -327,24 +327,29 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """id and label, the least id of its component, of each id in the links (a, b).
 
-    Each round takes the least label of the neighbours, then the label of that label, so
-    that distances halve; labels are settled between rounds.
+    Each round gives an id the least of its neighbours and itself, then links what still
+    differs, so links get fewer from round to round; in the end the rounds are followed
+    backwards. Links and rounds are settled.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = settle(both.distinct())
-    new = settle(
-        both.groupBy(F.col("a").alias("id")).agg(F.col("id").alias("old"), F.least(F.min("b"), F.col("id")).alias("label"))
-    )
-    while new.where(F.col("label") != F.col("old")).limit(1).count():
-        before, labels = new, new.select("id", "label")
-        of_b = labels.select(F.col("id").alias("b"), F.col("label").alias("b_label"))
-        least = both.join(of_b, "b").groupBy(F.col("a").alias("id")).agg(F.min("b_label").alias("least"))
-        near = labels.join(least, "id").select("id", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = settle(near.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
+    left = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    rounds = []
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
+        rounds.append(near)
+        of_a = near.select(F.col("id").alias("a"), F.col("label").alias("new_a"))
+        of_b = near.select(F.col("id").alias("b"), F.col("label").alias("new_b"))
+        moved = left.join(of_a, "a").join(of_b, "b").where("new_a <> new_b")
+        before, left = left, settle(moved.select(F.greatest("new_a", "new_b").alias("a"), F.least("new_a", "new_b").alias("b")).distinct())
         discard(before)
-    discard(both)
-    return new.select("id", "label")
+    if not rounds:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    labels = rounds.pop()
+    while rounds:
+        earlier, later = rounds.pop(), labels.select(F.col("id").alias("label"), F.col("label").alias("last"))
+        labels = settle(earlier.join(later, "label", "left").select("id", F.coalesce("last", "label").alias("label")))
+        discard(earlier)
+    return labels
 
 
 def classes(
@@ -405,7 +410,9 @@ def _labelled(keyed: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
     left = settle(_still_open(large.select("bucket", "node"), labels).select("node", "label").distinct())
     own = settle(full.select("node", "n_words", "bag", "words").join(_if_few(left), "node"))
     members = settle(_rare_members(own, sketch.similarity))
-    of_single = linked(_all_pairs(members.where("alone").join(bags, "node"), sketch.similarity))
+    need = members.groupBy("node").agg(F.first("need").alias("need"))
+    pairs = _all_pairs(members.where("alone").join(bags, "node"), sketch.similarity)
+    of_single = linked(_sharing_enough(pairs, need))
     of_many = settle(_met_groups(members, own, sketch.similarity))
     labels = joined(settle(of_single.unionByName(of_many)))
     nodes = settle(full.select("node", "id", "key"))
@@ -482,7 +489,7 @@ def _near(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rare_members(texts: DataFrame, similarity: float) -> DataFrame:
-    """bucket, n, label, node and alone of texts (node, label, words) in buckets of a rare word pair each.
+    """bucket, n, label, node, need and alone of texts (node, label, words) in buckets of a rare word pair.
 
     Rare is what falls into classes of few word pairs of the texts at hand; any order that is
     the same for all texts gives the same links. Buckets of one label are left out. Texts of
@@ -513,12 +520,18 @@ def _rare_members(texts: DataFrame, similarity: float) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = pa.array(np.concatenate(rows).view(np.int64) if rows else [], pa.int64())
             buckets = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["label"], buckets], ["node", "label", "buckets"])
+            need = [_needed(n, similarity) for n in np.diff(batch["words"].offsets.to_numpy()).tolist()]
+            columns = [batch["node"], batch["label"], pa.array(need, pa.int32()), buckets]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "label", "need", "buckets"])
 
-    each = texts.select("node", "label", "words").mapInArrow(rarest, "node long, label long, buckets array<long>")
+    each = texts.select("node", "label", "words").mapInArrow(
+        rarest, "node long, label long, need int, buckets array<long>"
+    )
     of_label = texts.groupBy("label").agg((F.count("*") == 1).alias("alone"))
-    spread = each.join(of_label, "label").select(F.explode("buckets").alias("bucket"), "node", "label", "alone")
-    rows = spread.groupBy("bucket", "label").agg(F.min("node").alias("node"), F.first("alone").alias("alone"))
+    spread = each.join(of_label, "label").select(F.explode("buckets").alias("bucket"), "node", "label", "need", "alone")
+    rows = spread.groupBy("bucket", "label").agg(
+        F.min("node").alias("node"), F.min("need").alias("need"), F.first("alone").alias("alone")
+    )
     several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(several, "bucket")
 
@@ -530,7 +543,9 @@ def _met_groups(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     """
     x, y = members.where("NOT alone").alias("x"), members.alias("y")
     once = F.expr("x.bucket = y.bucket AND x.label <> y.label AND (y.alone OR x.label < y.label)")
-    meeting = settle(x.join(y, once).select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).distinct())
+    met = x.join(y, once).groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b"))
+    shared = met.agg(F.count("*").alias("n"), F.least(F.min("x.need"), F.min("y.need")).alias("need"))
+    meeting = settle(shared.where("n >= need").select("a", "b"))
     narrow = texts.select("node", "label", "n_words", "bag")
     of_b = meeting.join(narrow.withColumnRenamed("label", "b"), "b")
     # First by lengths and bags alone, then those texts that may be similar to any, with their words.
@@ -614,19 +629,29 @@ def _pairs_of(words: pa.Array) -> Iterator[np.ndarray]:
         yield mixed(pairs + _occurrence(pairs) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _needed(n: int, similarity: float) -> int:
+    """How many of the rarest word pairs of a text of n words any like text must have among its own.
+
+    More for longer texts; never more than they share for certain. Texts of few words are like
+    none but equal ones.
+    """
+    return max(1, min(n - 2 * _edits(n, similarity), max(3, n // 16)))
+
+
 @lru_cache(1 << 16)
 def _prefix(n: int, similarity: float) -> int:
-    """How many of a text's n word pairs, in an order for all, hold one that any like text has there too.
+    """How many of a text's n word pairs, in an order for all, hold what any like text has there too.
 
-    Texts of n and m words, m the more, share at least m - 2 e(m) pairs, so one stands among the
-    first n - (m - 2 e(m)) + 1 of both; the largest such number, with the roles changed as well.
+    Texts of n and m words, m the more, share at least m - 2 e(m) pairs, so k of them stand
+    among the first n - (m - 2 e(m)) + k of both; the largest such number, with the roles
+    changed as well, for the k that the text needs.
     """
     most = 2 * _edits(n, similarity)
     m = n
     while most < n and m - (e := _edits(m, similarity)) <= n:
         most = max(most, n - m + 2 * e)
         m += 1
-    return min(n, most + 1)
+    return min(n, most + _needed(n, similarity))
 
 
 def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -660,7 +685,15 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
         return _met(left, right, similarity)
 
     of_large = side("xb").cogroup(side("yb")).applyInArrow(meet, "a long, b long, a_label long, b_label long")
-    return of_small.unionByName(of_large).distinct()
+    return of_small.unionByName(of_large)
+
+
+def _sharing_enough(pairs: DataFrame, need: DataFrame) -> DataFrame:
+    """The pairs that met in as many buckets as the one that needs fewer does."""
+    counted = pairs.groupBy("a", "b", "a_label", "b_label").agg(F.count("*").alias("n"))
+    of_a, of_b = (need.select(F.col("node").alias(c), F.col("need").alias(f"{c}_need")) for c in "ab")
+    both = counted.join(of_a, "a").join(of_b, "b").where("n >= least(a_need, b_need)")
+    return both.select("a", "b", "a_label", "b_label")
 
 
 def _met(left: pa.Table, right: pa.Table, similarity: float) -> pa.Table:
