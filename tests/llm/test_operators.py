@@ -58,8 +58,8 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, small, name):
 
 
 def test_urls(spark):
-    rules = [("com", "/", "block"), ("b.com", "/x", "allow"), ("b.com", "/x/y", "block"), ("a.b.com", "/", "allow"), ("b-c.com", "/", "allow"), (None, "/", "block")]
-    urls = ["https://b.com/x", "https://q.B.com/x/yz", "https://a.b.com/x/y", "http://xb.com/x", "http://b-c.com/", "http://b.com", "com/", None, "x://", "http://d..com/?a", "http://a.b.com:80/x"]
+    rules = [("com", "/", "block"), ("b.com", "/x", "allow"), ("b.com", "/x/y", "block"), ("a.b.com", "/", "allow"), ("b-c.com", "/", "allow"), (None, "/", "block"), ("d.com", "/xyz", "block"), ("a.d.com", "/x", "allow")]
+    urls = ["https://b.com/x", "https://q.B.com/x/yz", "https://a.b.com/x/y", "http://xb.com/x", "http://b-c.com/", "http://b.com", "com/", None, "x://", "http://d..com/?a", "http://a.b.com:80/x", "http://a.d.com/xyz"]
     pages = spark.createDataFrame([(i, u, "r", "h") for i, u in enumerate(urls + urls)], "page_id long, url string, rule string, host string")
 
     def judge(url):
@@ -348,7 +348,8 @@ def test_secrets(spark, texts):
     ]
     made += ["".join(rng.choice(list("abcDEF0189+/_ ="), 200)) for _ in range(60)]
     made += ["".join(rng.choice(list("abcdefghijkXYZRSTUVW0123456789"), 400)) + "a" * 100 for _ in range(10)]
-    rows = [(i, t) for i, t in enumerate(made)] + [(-1, None), (-2, "")]
+    made += ["".join(rng.choice(list("abcdefghijkXYZRSTUVW0123456789"), 5000))]
+    rows = [(i, t) for i, t in enumerate(made)] + [(-1, None), (-2, ""), (0, made[0]), (0, made[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
     found = secret_scan.scan_secrets(df).collect()
     assert len(found) == len(rows)
@@ -359,6 +360,7 @@ def test_secrets(spark, texts):
         assert spans == sorted(base_spans(text) + entropy_spans(text)), text[:300]
         some += any(s[1] > 2 for s in spans)
     assert some > 5
+    assert secret_scan.scan_secrets(df.limit(0)).count() == 0
     marked = df.select(secret_scan.redact(F.col("text"), secret_scan.secret_spans(F.col("text"))).alias("t"), "text").collect()
     for r in marked:
         if r.text and "hunter22" in r.text:
@@ -393,6 +395,53 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.classify(docs.limit(0), marks).count() == 0
 
 
+def plain_ngrams(text):
+    """Hashed n-grams one by one, in Python's own numbers."""
+    codes = [ord(c) for c in " " + " ".join(text.lower().split()) + " "]
+    found, low = set(), 2**32 - 1
+    for n in toxicity.ORDERS:
+        for i in range(len(codes) - n + 1):
+            h = codes[i] * 0x9E3779B1 & low
+            for c in codes[i + 1 : i + n]:
+                h = ((h ^ h >> 15) * 0x85EBCA6B + c) & low
+            found.add(((h ^ h >> 16) * 0xC2B2AE35 & low) >> 32 - toxicity.BITS)
+    return found
+
+
+def test_scores_are_those_of_plain_code(spark):
+    """Counts, ratios and each step of the regression over a dense table of all features."""
+    rng = np.random.default_rng(16)
+    words = ["some", "other", "words", "here", "dumb", "fool", "é😀"]
+    texts = {i: " ".join(rng.choice(words[:4] + words[4:] * (i % 2), rng.integers(1, 9))) for i in range(40)}
+    fit = toxicity.Fit(steps=12, least_texts=2, least_ratio=0.3)
+    used = [i for i in texts if i < 30 and zlib.crc32(str(i).encode()) % 5]
+    y = np.array([i % 2 for i in used], dtype=float)
+    grams = {i: plain_ngrams(t) for i, t in texts.items()}
+    features = sorted(set().union(*[grams[i] for i in used]))
+    x = np.array([[float(f in grams[i]) for f in features] for i in used])
+    p, q = (x[y == 1].sum(axis=0), x[y == 0].sum(axis=0))
+    r = np.log((p + 1) / (y.sum() + 1)) - np.log((q + 1) / ((1 - y).sum() + 1))
+    keep = (p + q >= 2) & (abs(r) >= 0.3)
+    x, r = (x * r)[:, keep], r[keep]
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+    w, bias, squares, bias_squares = np.zeros(len(r)), 0.0, np.full(len(r), 1e-8), 1e-8
+    for _ in range(12):
+        error = share * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        slope = x.T @ error + fit.penalty * w
+        squares, bias_squares = squares + slope**2, bias_squares + error.sum() ** 2
+        w, bias = w - 0.1 * slope / np.sqrt(squares), bias - 0.1 * error.sum() / np.sqrt(bias_squares)
+    weight = dict(zip(np.array(features)[keep].tolist(), (w * r).tolist(), strict=True))
+    texts |= {100: texts[1] * 4000, 101: None}
+    grams |= {100: plain_ngrams(texts[100]), 101: plain_ngrams("")}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.classify(docs, labels, fit).collect()
+    assert len(got) == 43 and len(weight) > 30
+    for row in got:
+        total = bias + sum(weight.get(g, 0.0) for g in grams[row.doc_id])
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_ngrams_of_slices_are_those_of_the_text(monkeypatch):
     text = "Some text, é 😀 again and again. " * 40
     whole = set(toxicity.ngrams(text))
@@ -449,6 +498,9 @@ def test_mixing(spark):
     assert Counter(map(tuple, out.drop("mix_copy").collect())) == Counter(map(tuple, again.drop("mix_copy").collect()))
     assert None in {r.source for r in source_mix.mix_sources(df, weights | {source_mix.OTHER: 1.0}).collect()}
     assert source_mix.mix_sources(df.limit(0), weights).count() == 0
+    unknown = spark.createDataFrame([(None, "t", "en", "hot", 1)] * 50 + [(1, "t", "en", "hot", 1)] * 2, DOCS)
+    copies = Counter(r.doc_id for r in source_mix.mix_sources(unknown, {"hot": 1.0}).collect())
+    assert copies[None] % 50 == 0 and copies[1] % 2 == 0  # rows of one id are drawn alike
     with pytest.raises(ValueError, match="repeated over"):
         source_mix.mix_sources(df, {"cold": 1.0}, max_rate=5)
     for rate in (0.1, 1.0, 7.5):
@@ -578,6 +630,15 @@ def test_pipeline(spark, small, texts):
     labels = {r.doc_id: r.toxic for r in queries.table(spark, small, "labels").collect()}
     gone = set(texts) - {r["doc_id"] for r in clean}
     assert gone and all(labels.get(i, 1) for i in gone)
+    assert gone == {r.doc_id for r in queries.op5_toxicity(spark, small).collect() if r.predicted}
+    of_clean = spark.createDataFrame([(r["doc_id"], r["text"]) for r in clean], "doc_id long, text string")
+    assert {r["doc_id"] for r in single} == {r.class_id for r in order_minhash.classes(of_clean).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist(safe))
+    wanted = con.execute(f"SELECT doc_id FROM ({queries.SQL['op7_source_mix']})").fetchall()
+    assert Counter(r["doc_id"] for r in mixed) == Counter(i for (i,) in wanted)
     assert len({r["doc_id"] for r in single}) == len(single) < len({r["text"] for r in clean}) + 1
     for r in safe:
         assert not base_spans(r["text"]) and r["n_chars"] == len(r["text"])
@@ -595,3 +656,5 @@ def test_pipeline_of_odd_rows(spark, small):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, small).cache()
             docs.count()
+        kept = Counter((r.doc_id, r.text) for r in order_minhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect())
+        assert kept == Counter(set(ODD)) and {r.round_trip for r in docs.collect()} <= {True}
